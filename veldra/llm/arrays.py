@@ -50,14 +50,15 @@ def as_array(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return column
 
 
-def slices(texts: pa.Array, target: int = 4 << 20) -> Iterator[tuple[int, int]]:
-    """Row ranges of about ``target`` bytes each; a longer text is a range of its own."""
+def slices(texts: pa.Array, target: int = 1 << 19, rows: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``target`` bytes and at most ``rows`` rows each; a longer text is a range of its own."""
     size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(size)
     first = 0
     while first < len(size):
         before = ends[first - 1] if first else 0
         last = max(int(np.searchsorted(ends, before + target, "right")), first + 1)
+        last = min(last, first + rows)
         yield first, last
         first = last
 

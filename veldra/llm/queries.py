@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from .language import op6_language_id
+from .mixing import op10_mixing
+from .packing import op2_packing
+from .quality import op3_quality
 from .simhash import op1_simhash_dedup
 
-QUERIES = {f.__name__: f for f in (op1_simhash_dedup,)}
+QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_packing, op3_quality, op6_language_id, op10_mixing)}
 ORACLES: dict[str, str] = {}

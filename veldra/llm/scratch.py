@@ -5,6 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -40,3 +44,14 @@ class Scratch:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def filter_rows(df: DataFrame, columns: list[str], accept: Callable[..., np.ndarray]) -> DataFrame:
+    """The rows of ``df`` for which ``accept``, given the named columns as Arrow arrays, is true; no shuffle, no join."""
+    at = [df.columns.index(c) for c in columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(accept(*(batch.column(k) for k in at)), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
