@@ -50,7 +50,7 @@ def as_array(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return column
 
 
-def slices(texts: pa.Array, target: int = 1 << 19, rows: int = 1 << 30) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, target: int = 1 << 19, rows: int = 1 << 16) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``target`` bytes and at most ``rows`` rows each; a longer text is a range of its own."""
     size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(size)
@@ -130,16 +130,18 @@ def words(texts: pa.Array, lower: bool = True) -> Words:
     return Words(mix(np.add.reduceat(value, at)), length, start, first, doc)
 
 
-def distinct(doc: np.ndarray, code: np.ndarray, n_docs: int, extra_bits: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (document, code) pairs as (doc, code, first), codes cut to the bits left beside the document number."""
-    bits = max(1, int(n_docs - 1).bit_length())
-    key = (doc.astype(U64) << U64(64 - bits)) | (code >> U64(bits))
+def distinct(doc: np.ndarray, code: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (document, code) pairs as (doc, code, first) for at most 2^16 documents.
+
+    Codes lose their lowest 16 bits, always as many, so that a text's codes don't depend on its batch.
+    """
+    key = (doc.astype(U64) << U64(48)) | (code >> U64(16))
     key.sort()
     if len(key):
         key = key[np.concatenate(([True], key[1:] != key[:-1]))]
-    d = (key >> U64(64 - bits)).astype(np.int64)
+    d = (key >> U64(48)).astype(np.int64)
     first = np.searchsorted(d, np.arange(n_docs + 1))
-    return d, key << U64(bits), first
+    return d, key << U64(16), first
 
 
 def row_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
