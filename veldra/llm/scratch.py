@@ -46,6 +46,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch; by default Spark sends 64 MB at once, which many executors can't spare beside their heap.
+BATCH_BYTES = 4 << 20
+
+
+def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow`` with batches of a few MB, so that what a Python worker holds follows the batch, not the partition."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(df.sparkSession.conf.get(key, "67108864b").rstrip("b")) > BATCH_BYTES:
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
+
+
 def filter_rows(df: DataFrame, columns: list[str], accept: Callable[..., np.ndarray]) -> DataFrame:
     """The rows of ``df`` for which ``accept``, given the named columns as Arrow arrays, is true; no shuffle, no join."""
     at = [df.columns.index(c) for c in columns]
