@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from .arrays import U64, as_array, buffers, mix, slices
-from .scratch import filter_rows, table
+from .scratch import filter_rows, map_arrow, table
 
 MAX_N = 3
 PROFILE = 400
@@ -122,7 +122,7 @@ def profiles(docs: DataFrame, sample: int = SAMPLE, max_n: int = MAX_N, size: in
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     chosen = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).select(F.col("id").alias("chosen"), F.col("lang").alias("as"))
     texts = docs.select(F.col("doc_id").alias("id"), "lang", "text").join(F.broadcast(chosen), (F.col("id") == F.col("chosen")) & (F.col("lang") == F.col("as")), "left_semi")
-    total = texts.select("lang", "text").mapInArrow(_count_grams(max_n), "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    total = map_arrow(texts.select("lang", "text"), _count_grams(max_n), "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = total.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")) - 1).where(F.col("rank") < size).select("lang", "gram", "rank").toPandas()
     names = sorted(top["lang"].unique())
     known = np.unique(top["gram"].to_numpy(np.int64))
@@ -153,7 +153,7 @@ def identify(docs: DataFrame, sample: int = SAMPLE, max_n: int = MAX_N, size: in
                 schema.replace(",", "").split()[::2],
             )
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return map_arrow(docs.select(F.col("doc_id").cast("bigint"), F.col("lang").cast("string"), F.col("text").cast("string")), run, schema)
 
 
 def _judge(names: list[str], known: np.ndarray, ranks: np.ndarray, max_n: int, size: int, min_grams: int, max_distance: float, margin: float):

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from .arrays import U64, as_array, buffers, distinct, mix, row_sums, slices, words
-from .scratch import Scratch, table
+from .scratch import Scratch, map_arrow, table
 
 CAPACITY = 2048
 DIMS = 4
@@ -105,7 +105,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, dims: int = DIMS, bits: int
     if capacity < 1 or dims * bits > 62:
         raise ValueError("capacity must be positive, and dims * bits at most 62")
     scratch = Scratch(docs.sparkSession)
-    keyed = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(_key(dims, bits), "doc_id bigint, key bigint, tokens bigint").where("tokens > 0")
+    keyed = map_arrow(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")), _key(dims, bits), "doc_id bigint, key bigint, tokens bigint").where("tokens > 0")
     keyed = scratch.save(keyed, "keyed")
     ranged = scratch.save(keyed.repartitionByRange("key", "doc_id", "tokens").withColumn("part", F.spark_partition_id()), "ranged")
     # One number a partition: where its first token lies in the whole.

@@ -71,4 +71,4 @@ def filter_rows(df: DataFrame, columns: list[str], accept: Callable[..., np.ndar
         for batch in batches:
             yield batch.filter(pa.array(accept(*(batch.column(k) for k in at)), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return map_arrow(df, run, df.schema)
