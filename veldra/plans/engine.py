@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..deploy import ship
 from ..functions.collation import collation_key
 from ..functions.text import stems_udf
 from ..operators.aggregates import bound_value, build
@@ -281,6 +282,7 @@ def run(collection: Collection, text: str | Query, params: str | dict[str, Any]
     language's default order (by seq, groups by key), which otherwise is only made where a limit or order clause
     needs it, as a global sort is dear.
     """
+    ship(collection.df.sparkSession)
     return _Run(collection, text if isinstance(text, Query) else parse(text, params)).dataframe(ordered)
 
 

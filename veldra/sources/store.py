@@ -13,6 +13,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.window import Window
 
+from ..deploy import ship
 from ..errors import ShredError, WriteError
 from ..functions.collation import dumps
 from .collection import Collection
@@ -58,6 +59,7 @@ class Batch:
 class DocStore:
     def __init__(self, spark: SparkSession, path: str | None = None, create: bool = False):
         """``path`` None: a store in memory, for interactive use and tests."""
+        ship(spark)
         self.spark, self.path = spark, path.rstrip("/") if path else None
         self._table: DataFrame | None = None
         if self.path is None or create and not self._exists():
