@@ -56,7 +56,7 @@ def grams(texts: pa.Array, max_n: int = MAX_N) -> tuple[np.ndarray, np.ndarray,
     found = [(doc << U64(_GRAM) | mix(code) >> U64(_DOC))[code > 0]]
     joined = code
     for n in range(2, max_n + 1):
-        joined = mix(joined[:-1] * U64(0x100000001B3) + code[n - 1 :]) if n > 2 else code[:-1] << U64(24) | code[1:]
+        joined = mix(joined[:-1] * U64(0x100000001B3) + code[n - 1 :]) if n > 2 else code[:-1] + U64(1) << U64(24) | code[1:]
         if n == 2:
             inside = doc[:-1] == doc[1:]
             # A mark may stand at either end of an n-gram, never within it.

@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..deploy import ship
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; on a local master without that setting, a temporary one."""
@@ -52,6 +54,7 @@ BATCH_BYTES = 4 << 20
 
 def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """``df.mapInArrow`` with batches of a few MB, so that what a Python worker holds follows the batch, not the partition."""
+    ship(df.sparkSession)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(df.sparkSession.conf.get(key, "67108864b").rstrip("b")) > BATCH_BYTES:
         df.sparkSession.conf.set(key, str(BATCH_BYTES))
