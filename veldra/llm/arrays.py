@@ -19,7 +19,7 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 #: Bytes that belong to a word: ASCII letters and digits, and every byte of a multi-byte character.
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-_POWERS = np.ones(64, U64)
+_POWERS = np.ones(1, U64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
