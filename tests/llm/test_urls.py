@@ -1,0 +1,86 @@
+import math
+import random
+
+from veldra.llm import urls
+
+SCHEMA = "page_id bigint, url string, html string"
+
+
+def brute_segment(text, share):
+    """Best of all splits."""
+
+    def score(words):
+        return round(sum(math.log(share[w]) if w in share else math.log(1e-4) - len(w) * math.log(26) for w in words), 9)
+
+    best = None
+    for mask in range(1 << max(0, len(text) - 1)):
+        words, start = [], 0
+        for i in range(1, len(text)):
+            if mask >> (i - 1) & 1:
+                words.append(text[start:i])
+                start = i
+        words.append(text[start:])
+        key = (round(score(words), 6), -len(words))
+        best = max(best, (key, words)) if best and key == best[0] else (key, words) if best is None or key > best[0] else best
+    return best
+
+
+def test_segments_by_trying_all_splits():
+    rng = random.Random(1)
+    lexicon = ["a", "ab", "ba", "abba", "cab", "bc", "cc", "bca", "aaa"]
+    for _ in range(60):
+        share = {w: rng.random() / 10 for w in rng.sample(lexicon, 6)}
+        text = "".join(rng.choice("abc") for _ in range(rng.randrange(1, 11)))
+        got = urls.segment(text, share)
+        assert "".join(got) == text
+        own = sum(math.log(share[w]) if w in share else math.log(1e-4) - len(w) * math.log(26) for w in got)
+        (best, count), _ = brute_segment(text, share)
+        assert abs(own - best) < 1e-5 and len(got) <= -count + 0
+
+
+def test_known_words():
+    share = {"cheap": 1e-3, "pills": 1e-3, "online": 1e-3, "on": 1e-2, "line": 1e-3, "expert": 1e-4, "s": 1e-3, "exchange": 1e-4, "experts": 1e-4, "sex": 1e-4, "change": 1e-3}
+    assert urls.segment("cheappillsonline", share) == ["cheap", "pills", "online"]
+    assert urls.labels("WWW.Cheap-Pills24.example.com") == ["www", "cheap", "pills", "example", "com"]
+    assert urls.segment("", share) == [] and urls.segment("zzz", share) == ["zzz"]
+
+
+def test_naive_bayes_by_hand():
+    ratio, odds = urls.train(["bad bad", "casino"], ["good", "casino good good"], 1.0, 0.5)
+    # block: bad 2, casino 1, good 0 of 3; allow: bad 0, casino 1, good 3 of 4; three words known.
+    assert odds == 0
+    assert math.isclose(ratio["bad"], math.log(3 / 6) - math.log(1 / 7))
+    assert math.isclose(ratio["good"], math.log(1 / 6) - math.log(4 / 7))
+    assert math.isclose(ratio["casino"], math.log(2 / 6) - math.log(2 / 7))
+
+
+def test_filter(spark):
+    rows = [
+        (1, "https://www.cheappillsonline.com/buy/pills.html", None), (2, "HTTP://News.Example.ORG/world/article", "<p>world news</p>"), (3, None, ""), (4, "no url", None), (5, "https:///path", None),
+        (6, "https://user:pw@freebets.example.com:8080/casino?x=casino#casino", None), (7, "https://127.0.0.1/x", None), (1, "https://www.cheappillsonline.com/buy/pills.html", None), (None, "https://docs.example.com/api", None),
+        (8, "https://" + "casino" * 3000 + ".com/", None), (9, "https://greengarden.example.com/", "<b>green</b> garden garden &amp; <script>casino</script>"),
+    ]
+    pages = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA + ", host string, score int")
+    got = urls.filter_urls(pages).collect()
+    assert len(got) == len(rows)
+    by = {r.page_id: r for r in got}
+    assert by[1].blocked and by[1].host_words == ["cheap", "pills", "online"] and by[1].path_words == ["buy", "pills", "html"]
+    assert by[6].blocked and by[6].host == "freebets.example.com" and by[6].path_words == ["casino"]
+    assert not by[2].blocked and by[2].host == "news.example.org"
+    for k in (3, 4, 5):
+        assert by[k].host is None and not by[k].blocked and by[k].host_words == []
+    assert by[7].host_words == [] and not by[7].blocked
+    assert by[8].blocked and set(by[8].host_words) == {"casino"}
+    assert by[9].host_words[:2] == ["green", "garden"] and not by[9].blocked
+    assert sum(r.page_id == 1 for r in got) == 2
+    ratio, odds = urls.train()
+    for r in got:
+        assert abs(r.score - (odds + sum(ratio.get(w, 0.0) for w in [*r.host_words, *r.path_words]))) < 1e-6
+    assert urls.filter_urls(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_table(spark, sf):
+    got = urls.op9_url_filter(spark, sf).toPandas()
+    pages = spark.read.parquet(f"{sf}/pages.parquet").toPandas()
+    assert sorted(got.page_id) == sorted(pages.page_id)
+    assert 0 < got.blocked.mean() < 0.3
