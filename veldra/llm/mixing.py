@@ -17,12 +17,15 @@ the document's hash as the die, so that the expected number of copies is the rat
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .scratch import Scratch, table
+from .arrays import as_array, token_counts
+from .scratch import Scratch, map_arrow, table
 
 #: Default targets: token shares raised to these powers, then normalised. Below 1, small groups gain.
 SOURCE_POWER = 0.7
@@ -45,9 +48,16 @@ class Tilt:
     error: float
 
 
-def tokens(text: str = "text") -> Column:
-    """Tokens of a text: maximal runs of characters other than ASCII white space; null and empty texts have none."""
-    return F.coalesce(F.regexp_count(F.col(text), F.lit(r"\S+")), F.lit(0)).cast("bigint")
+def with_tokens(docs: DataFrame) -> DataFrame:
+    """Adds __t, the tokens of ``text``: maximal runs of characters other than ASCII white space."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = pa.array(token_counts(as_array(batch.column(at))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, counts], [*batch.schema.names, "__t"])
+
+    return map_arrow(docs, run, T.StructType([*docs.schema.fields, T.StructField("__t", T.LongType())]))
 
 
 def _targets(share: dict[str, float], wanted: dict[str, float] | None, power: float) -> dict[str, float]:
@@ -149,7 +159,7 @@ def _rates(rows: DataFrame, tilt: Tilt | None) -> DataFrame:
 
 
 def _grouped(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"__s": F.coalesce(F.col("source").cast("string"), F.lit(NONE)), "__l": F.coalesce(F.col("lang").cast("string"), F.lit(NONE)), "__t": tokens(), "__key": F.col("doc_id")})
+    return with_tokens(docs).withColumns({"__s": F.coalesce(F.col("source").cast("string"), F.lit(NONE)), "__l": F.coalesce(F.col("lang").cast("string"), F.lit(NONE)), "__key": F.col("doc_id")})
 
 
 def _stats(docs: DataFrame) -> DataFrame:

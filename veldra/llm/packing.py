@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from .arrays import U64, as_array, buffers, distinct, mix, row_sums, slices, words
+from .arrays import U64, as_array, distinct, mix, row_sums, slices, token_counts, words
 from .scratch import Scratch, map_arrow, table
 
 CAPACITY = 2048
@@ -68,20 +68,6 @@ def curve_keys(texts: pa.Array, dims: int = DIMS, bits: int = BITS) -> np.ndarra
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def token_counts(texts: pa.Array) -> np.ndarray:
-    """Maximal runs of characters other than ASCII white space in each text."""
-    out = []
-    for a, b in slices(texts):
-        data, offsets = buffers(texts.slice(a, b - a))
-        solid = ~((data == 32) | ((data >= 9) & (data <= 13)))
-        start = solid.copy()
-        start[1:] &= ~solid[:-1]
-        edge = offsets[:-1][np.diff(offsets) > 0]
-        start[edge] = solid[edge]
-        out.append(np.diff(np.concatenate(([0], np.cumsum(start)))[offsets]))
-    return np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64)
-
-
 def _key(dims: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
