@@ -109,3 +109,19 @@ def test_edge_cases(spark):
     assert spotsigs.similar_documents(spark.createDataFrame([], SCHEMA)).count() == 0
     with pytest.raises(ValueError):
         spotsigs.similar_documents(docs, 0)
+
+
+def test_bitmaps_never_exclude_a_match():
+    rng = np.random.default_rng(5)
+    for _ in range(400):
+        n = int(rng.integers(4, 200))
+        pool = rng.integers(0, 1 << 48, 2 * n).astype(np.uint64)
+        sets = [np.unique(rng.choice(pool[: n + int(rng.integers(0, n))], n)) for _ in range(2)]
+        bitmap = np.zeros((2, spotsigs.BITMAP), bool)
+        for k, s in enumerate(sets):
+            bitmap[k, (spotsigs.mix(s) % np.uint64(spotsigs.BITMAP)).astype(int)] = True
+        both = len(np.intersect1d(*sets))
+        jaccard = both / (len(sets[0]) + len(sets[1]) - both)
+        size = np.array([len(s) for s in sets])
+        packed = np.packbits(bitmap, axis=1).view(np.int64)
+        assert spotsigs._possible(size, packed, np.array([0]), np.array([1]), jaccard)[0]

@@ -3,21 +3,23 @@
 A spot is an anchor (a very common word) with the chain of the next ``CHAIN`` content words.
 Anchors stand all over natural prose and rarely in menus and adverts, so the set of a page's
 spots says what its body says. Two documents match if the Jaccard similarity of their sets is
-at least ``threshold``; the search is exact, and pruned four times:
-
-* Sets are put in one order, rare spots first. Two sets that match share a spot among the
-  first n - ceil(threshold * n) + 1 of either, so only those are shuffled. Any order will
-  do for that; it goes by the counts of all spots hashed into a table of fixed size, which
-  costs little and still puts the spots of boilerplate last.
-* Within a spot's list documents are ordered by set length, and each is compared only with
-  the stretch of those whose length allows the threshold.
-* Bitmaps of 256 bits bound the overlap of two sets from above.
-* What is left is compared in full.
+at least ``threshold``. The groups are the connected components of all matching pairs, found
+exactly in two rounds:
+
+1. Documents with a common pair of min-hash values are compared with the one of least id among them.
+   That is cheap, and joins nearly all that belongs together, equal sets in any case.
+2. What is left is searched in full, but only between groups of the first round. Sets are
+   put in one order, rare spots first (by the counts of all spots hashed into a table of
+   fixed size, so that boilerplate comes last; any order would do). Two sets that match
+   share at least l spots among the first n - ceil(threshold * n) + l of either, so only
+   those are shuffled, with l growing with n. Within a spot's list documents are ordered by
+   set length, and each meets only the stretch whose length allows the threshold; bitmaps
+   bound the overlap from above; pairs that share fewer than l spots of the lists are
+   dropped; the rest is compared in full.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from .arrays import U64, as_array, buffers, distinct, mix, slices, words
+from .components import components
 from .scratch import Scratch, map_arrow, table
 
 ANCHORS = {
@@ -43,8 +46,14 @@ STOP = {
 CHAIN = 2
 THRESHOLD = 0.6
 MIN_SPOTS = 4
+#: Pairs of min-hash values a document in the first round.
+TABLES = 8
+#: A further spot of the lists has to be shared for every so many of a set.
+SHARE = 8
 CELLS = 1 << 16
-BITMAP = 256
+BITMAP = 128
+#: Bits of the filter that keeps documents that no pair names out of a join; its size is fixed.
+FILTER = 1 << 23
 
 
 def _hashes(lists: dict[str, str]) -> np.ndarray:
@@ -83,15 +92,17 @@ def spots(texts: pa.Array, chain: int = CHAIN) -> tuple[np.ndarray, np.ndarray]:
     return flat, np.concatenate(([0], np.cumsum(np.concatenate(sizes)))).astype(np.int64) if sizes else np.zeros(1, np.int64)
 
 
-def _binary(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    values = np.ascontiguousarray(values)
-    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
+def _pack(codes: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Sets of 48-bit codes as binary values of 6 bytes a code."""
+    data = np.ascontiguousarray(codes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * 6).astype(np.int32)), pa.py_buffer(data)])
 
 
-def _unbinary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    column = as_array(column)
-    data, bounds = buffers(column)
-    return np.frombuffer(data.tobytes(), U64), bounds // 8
+def _unpack(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    data, bounds = buffers(as_array(column))
+    codes = np.zeros((len(data) // 6, 8), np.uint8)
+    codes[:, :6] = data.reshape(-1, 6)
+    return codes.reshape(-1).view("<u8"), bounds // 6
 
 
 def _sign(chain: int, least: int):
@@ -101,9 +112,7 @@ def _sign(chain: int, least: int):
             size = np.diff(bounds)
             keep = np.flatnonzero(size >= least)
             codes = codes[np.repeat(size >= least, size)]
-            bounds = np.concatenate(([0], np.cumsum(size[keep])))
-            both = [np.add.reduceat(mix(codes + U64(salt)), bounds[:-1]).view(np.int64) if len(keep) else np.zeros(0, np.int64) for salt in (1 << 60, 3 << 60)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), *map(pa.array, both), _binary(codes, bounds)], ["id", "h1", "h2", "spots"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), _pack(codes, np.concatenate(([0], np.cumsum(size[keep]))))], ["id", "spots"])
 
     return run
 
@@ -111,161 +120,252 @@ def _sign(chain: int, least: int):
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(CELLS, np.int64)
     for batch in batches:
-        counts += np.bincount((_unbinary(batch.column(0))[0] % U64(CELLS)).astype(np.int64), minlength=CELLS)
+        counts += np.bincount((_unpack(batch.column(0))[0] % U64(CELLS)).astype(np.int64), minlength=CELLS)
     used = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["cell", "n"])
 
 
-def prefix_length(n: np.ndarray, threshold: float) -> np.ndarray:
-    """How many spots of a set of n have to be looked up."""
-    return (n - np.ceil(threshold * n - 1e-9) + 1).astype(np.int64)
+def _minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        codes, bounds = _unpack(batch.column(1))
+        least = [np.minimum.reduceat(mix(codes + U64((t + 1) << 50)), bounds[:-1]) for t in range(2 * TABLES)]
+        keys = [mix(mix(a) + b + U64(t)).view(np.int64) for t, (a, b) in enumerate(zip(least[::2], least[1::2]))]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.concat_arrays([batch.column(0)] * TABLES)], ["key", "id"])
+
+
+def _slot(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.view(U64)) % U64(FILTER)).astype(np.int64)
+
+
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The filter of a partition's ids, as the words of 64 bits that aren't zero."""
+    seen = np.zeros(FILTER, bool)
+    for batch in batches:
+        seen[_slot(batch.column(0).to_numpy())] = True
+    packed = np.packbits(seen).view(np.int64)
+    used = np.flatnonzero(packed)
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(packed[used])], ["word", "bits"])
 
 
-def _prefixes(counts, threshold: float):
-    """A row for each spot of the prefixes: (spot, set length, id, bitmap of the whole set)."""
+def _named(filter_, wanted: bool):
+    """Rows whose first column the filter may (or surely doesn't) name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.unpackbits(np.frombuffer(filter_.value, np.uint8)).view(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(seen[_slot(batch.column(0).to_numpy())] == wanted))
+
+    return run
+
+
+def list_length(n: np.ndarray, threshold: float) -> np.ndarray:
+    """How many spots of a set of n are listed."""
+    return np.minimum(n, n - np.ceil(threshold * n - 1e-9) + least_shared(n)).astype(np.int64)
+
+
+def least_shared(n: np.ndarray) -> np.ndarray:
+    """How many listed spots two matching sets share, if the smaller of both values is taken."""
+    return 1 + n // SHARE
+
+
+def _lists(counts, threshold: float):
+    """A row for each listed spot: (spot, set length, id, label, bitmap of the whole set in two numbers)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell_counts = np.frombuffer(counts.value, np.int64)
         order = np.empty(CELLS, np.int64)
         order[np.argsort(cell_counts, kind="stable")] = np.arange(CELLS)
         for batch in batches:
-            codes, bounds = _unbinary(batch.column(1))
-            n = np.diff(bounds)
-            doc = np.repeat(np.arange(len(n)), n)
-            bits = np.zeros((len(n), BITMAP), bool)
-            bits[doc, (mix(codes) % U64(BITMAP)).astype(np.int64)] = True
-            bitmap = np.packbits(bits, axis=1)
-            rank = np.lexsort((codes, order[(codes % U64(CELLS)).astype(np.int64)], doc))
-            place = np.arange(len(codes)) - np.repeat(bounds[:-1], n)
-            chosen = place < np.repeat(prefix_length(n, threshold), n)
-            codes, doc = codes[rank][chosen], doc[chosen]
-            for a in range(0, len(codes), 1 << 16):
-                own = doc[a : a + (1 << 16)]
-                rows = _binary(bitmap[own].ravel(), np.arange(len(own) + 1) * (BITMAP // 8))
-                yield pa.RecordBatch.from_arrays([pa.array(codes[a : a + (1 << 16)].astype(np.int64)), pa.array(n[own].astype(np.int32)), batch.column(0).take(pa.array(own)), rows], ["spot", "n", "id", "bitmap"])
+            for a in range(0, batch.num_rows, 512):
+                part = batch.slice(a, 512)
+                codes, bounds = _unpack(part.column(2))
+                n = np.diff(bounds)
+                doc = np.repeat(np.arange(len(n)), n)
+                bits = np.zeros((len(n), BITMAP), bool)
+                bits[doc, (mix(codes) % U64(BITMAP)).astype(np.int64)] = True
+                bitmap = np.packbits(bits, axis=1).view(np.int64)
+                # Rank in the common order: cell, then code (codes are sorted within a set, and the sort is stable).
+                rank = np.argsort(doc << 32 | order[(codes % U64(CELLS)).astype(np.int64)], kind="stable")
+                place = np.arange(len(codes)) - np.repeat(bounds[:-1], n)
+                chosen = place < np.repeat(list_length(n, threshold), n)
+                codes, doc = codes[rank][chosen], doc[chosen]
+                take = pa.array(doc)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(codes.astype(np.int64)), pa.array(n[doc].astype(np.int32)), part.column(0).take(take), part.column(1).take(take), pa.array(bitmap[doc, 0]), pa.array(bitmap[doc, 1])],
+                    ["spot", "n", "id", "label", "b0", "b1"],
+                )
 
     return run
 
 
-def run_pairs(n: np.ndarray, bitmap: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (a, b) of one list, ordered by set length, that length and bitmap allow to match."""
-    limit = np.searchsorted(n, np.floor(n / threshold + 1e-9), "right")
-    out_a, out_b = [], []
-    step = 1 << 18
-    span = limit - np.arange(len(n)) - 1
+def _possible(n: np.ndarray, bitmap: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether lengths and bitmaps allow rows a and b to match."""
+    x, y = bitmap.view(U64)[a], bitmap.view(U64)[b]  # bits of signed numbers would be counted in their absolute value
+    only_a = np.bitwise_count(x & ~y).sum(1, dtype=np.int64)
+    only_b = np.bitwise_count(y & ~x).sum(1, dtype=np.int64)
+    most = np.minimum(n[a] - only_a, n[b] - only_b)
+    return most >= threshold * (n[a] + n[b] - most) - 1e-9
+
+
+def run_pairs(n: np.ndarray, label: np.ndarray, bitmap: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (a, b) of one list, ordered by set length, that may match and have different labels."""
+    none = np.zeros(0, np.int64)
+    values, place, count = np.unique(label, return_inverse=True, return_counts=True)
+    if len(values) == 1:
+        return none, none
+    # Pairs within the commonest label never have to be looked at: every pair has a row of another label.
+    minor = np.flatnonzero(place != count.argmax())
+    low, high = np.searchsorted(n, np.ceil(n[minor] * threshold - 1e-9), "left"), np.searchsorted(n, np.floor(n[minor] / threshold + 1e-9), "right")
+    is_minor = place != count.argmax()
+    out_a, out_b = [none], [none]
+    span = high - low
     ends = np.cumsum(span)
     first = 0
-    while first < len(n):
-        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + step, "right")))
-        a = np.repeat(np.arange(first, last), span[first:last])
-        b = np.arange(len(a)) - np.repeat(np.cumsum(span[first:last]) - span[first:last], span[first:last]) + a + 1
-        only_a = np.bitwise_count(bitmap[a] & ~bitmap[b]).sum(1, dtype=np.int64)
-        only_b = np.bitwise_count(bitmap[b] & ~bitmap[a]).sum(1, dtype=np.int64)
-        most = np.minimum(n[a] - only_a, n[b] - only_b)
-        ok = most >= threshold * (n[a] + n[b] - most) - 1e-9
+    while first < len(minor):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + (1 << 18), "right")))
+        size = span[first:last]
+        a = np.repeat(minor[first:last], size)
+        b = np.arange(len(a)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low[first:last], size)
+        ok = (label[a] != label[b]) & (~is_minor[b] | (a < b))
+        a, b = a[ok], b[ok]
+        ok = _possible(n, bitmap, a, b, threshold)
         out_a.append(a[ok])
         out_b.append(b[ok])
         first = last
-    return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return np.concatenate(out_a), np.concatenate(out_b)
 
 
-def _meet(threshold: float):
-    """Candidate pairs of each spot's list; rows come sorted by spot and set length."""
+def _counted(n: np.ndarray, ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """(a, b, shared, needed): pairs of ids, how often they came here, and how often they must come in all."""
+    pair = np.stack((np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])), 1)
+    pair, first, shared = np.unique(pair, axis=0, return_index=True, return_counts=True) if len(a) else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    needed = np.minimum(least_shared(n[a[first]]), least_shared(n[b[first]]))
+    return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(shared.astype(np.int64)), pa.array(needed.astype(np.int64))], ["a", "b", "shared", "needed"])
 
-    def out(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        n, ids, bitmap = (np.concatenate(x) for x in zip(*held))
-        a, b = run_pairs(n, bitmap, threshold)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[a], ids[b])), pa.array(np.maximum(ids[a], ids[b]))], ["a", "b"])
 
-    def small(n: np.ndarray, ids: np.ndarray, bitmap: np.ndarray, bound: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """All lists of a batch that lie whole within it; lists of two, the most common, at once."""
+def _meet(threshold: float):
+    """Pairs that meet in the lists, which come sorted by spot and set length."""
+
+    def lists(n, ids, label, bitmap, bound) -> pa.RecordBatch:
+        """All lists between the bounds; lists of two, the most common, at once."""
         size = np.diff(bound)
         two = bound[:-1][size == 2]
-        pairs = [(two, two + 1)]
+        two = two[(label[two] != label[two + 1]) & (n[two] >= np.ceil(n[two + 1] * threshold - 1e-9))]
+        two = two[_possible(n, bitmap, two, two + 1, threshold)]
+        found = [(two, two + 1)]
         for first, last in zip(bound[:-1][size > 2].tolist(), bound[1:][size > 2].tolist()):
-            a, b = run_pairs(n[first:last], bitmap[first:last], threshold)
-            pairs.append((a + first, b + first))
-        a, b = (np.concatenate(x) for x in zip(*pairs))
-        most = np.minimum(n[a] - np.bitwise_count(bitmap[a] & ~bitmap[b]).sum(1, dtype=np.int64), n[b] - np.bitwise_count(bitmap[b] & ~bitmap[a]).sum(1, dtype=np.int64))
-        ok = most >= threshold * (n[a] + n[b] - most) - 1e-9
-        a, b = ids[a[ok]], ids[b[ok]]
-        # A pair may meet under many spots: once a batch is enough.
-        pair = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
+            a, b = run_pairs(n[first:last], label[first:last], bitmap[first:last], threshold)
+            if len(a):
+                found.append((a + first, b + first))
+        return _counted(n, ids, *(np.concatenate(x) for x in zip(*found)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
+
+        def flush() -> pa.RecordBatch:
+            n, ids, label, bitmap = (np.concatenate(x) for x in zip(*held))
+            return lists(n, ids, label, bitmap, np.array([0, len(n)]))
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            spot, n, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64), batch.column(2).to_numpy()
-            bitmap = _unbinary(batch.column(3))[0].reshape(-1, BITMAP // 64)
+            spot = batch.column(0).to_numpy()
+            columns = [batch.column(1).to_numpy().astype(np.int64), batch.column(2).to_numpy(), batch.column(3).to_numpy(), np.stack([batch.column(k).to_numpy() for k in (4, 5)], 1)]
             bound = np.flatnonzero(np.concatenate(([True], spot[1:] != spot[:-1], [True])))
-            head = bound[1] if held and spot[0] == now else 0
+            head = int(bound[1]) if held and spot[0] == now else 0
             if head:
-                held.append((n[:head], ids[:head], bitmap[:head]))
-            if held and (not head or len(bound) > 2):
-                yield out(held)
-                held = []
-            if len(bound) == 2 and head:
-                continue
+                held.append([c[:head] for c in columns])
+                if len(bound) == 2:
+                    continue
+            if held:
+                yield flush()
             # The last list may go on in the next batch.
-            yield from small(n, ids, bitmap, bound[1:-1] if head else bound[:-1])
-            now = spot[-1]
-            held = [(n[bound[-2] :].copy(), ids[bound[-2] :].copy(), bitmap[bound[-2] :].copy())]
+            inner = bound[1:-1] if head else bound[:-1]
+            if len(inner) > 1:
+                yield lists(*columns, inner)
+            now, held = spot[-1], [[c[bound[-2] :].copy() for c in columns]]
         if held:
-            yield out(held)
+            yield flush()
 
     return run
 
 
 def _verify(threshold: float):
+    """The pairs whose sets match."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            (x, i), (y, j) = _unbinary(batch.column(2)), _unbinary(batch.column(3))
-            n, m = np.diff(i), np.diff(j)
-            pair = np.concatenate((np.repeat(np.arange(len(n)), n), np.repeat(np.arange(len(m)), m))).astype(U64)
-            # Spots have 48 bits; a batch has fewer than 2^16 pairs.
-            key = np.concatenate([np.sort((pair << U64(48) | np.concatenate((x, y)))[(pair >= lo) & (pair < lo + (1 << 12))]) for lo in range(0, max(len(n), 1), 1 << 12)])
-            both = np.bincount((key[1:][key[1:] == key[:-1]] >> U64(48)).astype(np.int64), minlength=len(n)) if len(key) else np.zeros(len(n), np.int64)
-            jaccard = both / np.maximum(n + m - both, 1)
-            ok = np.flatnonzero(jaccard >= threshold - 1e-12)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ok)), batch.column(1).take(pa.array(ok)), pa.array(np.round(jaccard[ok], 6))], ["doc_a", "doc_b", "jaccard"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1 << 12):
+                batch = whole.slice(at, 1 << 12)
+                (x, i), (y, j) = _unpack(batch.column(2)), _unpack(batch.column(3))
+                n, m = np.diff(i), np.diff(j)
+                pair = np.concatenate((np.repeat(np.arange(len(n)), n), np.repeat(np.arange(len(m)), m))).astype(U64)
+                key = np.sort(pair << U64(48) | np.concatenate((x, y)))
+                both = np.bincount((key[1:][key[1:] == key[:-1]] >> U64(48)).astype(np.int64), minlength=len(n))
+                ok = pa.array(np.flatnonzero(both >= threshold * (n + m - both) - 1e-9))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(ok), batch.column(1).take(ok)], ["a", "b"])
 
     return run
 
 
+class _Search:
+    def __init__(self, spark: SparkSession, scratch: Scratch, threshold: float):
+        self.spark, self.scratch, self.threshold = spark, scratch, threshold
+
+    def named(self, rows: DataFrame, ids: DataFrame, wanted: bool = True) -> DataFrame:
+        """The rows that may (or surely don't) have one of the ids; a filter of fixed size, so some others pass too."""
+        merged = np.zeros(FILTER // 64, np.int64)
+        for r in map_arrow(ids, _bits, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).collect():
+            merged[r.word] = r.bits
+        return map_arrow(rows, _named(self.spark.sparkContext.broadcast(merged.tobytes()), wanted), rows.schema)
+
+    def matching(self, pairs: DataFrame, signed: DataFrame, name: str) -> DataFrame:
+        """The pairs (a, b) whose sets match; only sets that a pair names are shuffled."""
+        pairs = self.scratch.save(pairs, f"{name}-pairs")
+        some = self.named(signed, pairs.select(F.explode(F.array("a", "b")).alias("id")))
+        left, right = some.select(F.col("id").alias("a"), F.col("spots").alias("sa")), some.select(F.col("id").alias("b"), F.col("spots").alias("sb"))
+        found = map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb"), _verify(self.threshold), "a bigint, b bigint")
+        return self.scratch.save(found, name)
+
+
 def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, chain: int = CHAIN, min_spots: int = MIN_SPOTS) -> DataFrame:
-    """(doc_a, doc_b, jaccard), doc_a < doc_b: all pairs of documents whose spot sets match.
+    """(doc_id, duplicate_of) for each document with a matching one of smaller doc_id in its group.
 
-    Documents with equal sets are folded: each copy is paired, with 1.0, with the least doc_id of its group, and only
-    that one is paired with other documents.
+    ``duplicate_of`` is the least doc_id of the group, a connected component of the matching pairs.
 
     Defined results: rows whose doc_id is null, whose text is null, or whose set has fewer than ``min_spots`` spots
-    (as empty and very short texts) are left out. Rows that share a doc_id are never paired with one another. Texts
-    of any length are read whole. An empty table gives no rows. Other columns are ignored.
+    (as empty and very short texts) are left out. Rows that share a doc_id are one document; if their texts differ,
+    it matches what any of them matches. Texts of any length are read whole. An empty table gives no rows. Other
+    columns are ignored.
     """
     if not 0 < threshold <= 1 or min_spots < 1:
         raise ValueError("threshold must lie in (0, 1], min_spots be positive")
     spark = docs.sparkSession
     scratch = Scratch(spark)
+    search = _Search(spark, scratch, threshold)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null and text is not null")
-    signed = scratch.save(map_arrow(rows, _sign(chain, min_spots), "id bigint, h1 bigint, h2 bigint, spots binary"), "signed")
-    roots = scratch.save(signed.select("id", "h1", "h2").withColumn("root", F.min("id").over(Window.partitionBy("h1", "h2"))), "roots")
-    copies = roots.where("id > root")
-    gone = copies.select(F.col("id").alias("copy"), F.col("h1").alias("c1"), F.col("h2").alias("c2"))
-    single = signed.join(gone, (F.col("id") == F.col("copy")) & (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")), "left_anti").select("id", "spots")
-    single = scratch.save(single, "single")
-    scratch.drop("signed")
+    signed = scratch.save(map_arrow(rows, _sign(chain, min_spots), "id bigint, spots binary"), "signed")
+    # First round: everyone with the least id under each pair of min-hash values.
+    minima = map_arrow(signed, _minima, "key bigint, id bigint")
+    stars = minima.withColumn("least", F.min("id").over(Window.partitionBy("key"))).where("id > least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
+    first = search.matching(stars, signed, "first")
+    labels = scratch.save(components(first, scratch, "labels").select(F.col("id").alias("member"), F.col("root").alias("label")), "label-table")
+    # Second round: all that may match across the groups so far.
     counts = np.zeros(CELLS, np.int64)
-    for r in map_arrow(single.select("spots"), _tally, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+    for r in map_arrow(signed.select("spots"), _tally, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect():
         counts[r.cell] = r.n
-    listed = map_arrow(single, _prefixes(spark.sparkContext.broadcast(counts.tobytes()), threshold), "spot bigint, n int, id bigint, bitmap binary")
-    met = map_arrow(listed.repartition("spot").sortWithinPartitions("spot", "n"), _meet(threshold), "a bigint, b bigint").where("a <> b").distinct()
-    met = scratch.save(met, "met")
-    left, right = single.select(F.col("id").alias("a"), F.col("spots").alias("sa")), single.select(F.col("id").alias("b"), F.col("spots").alias("sb"))
-    near = map_arrow(met.join(left, "a").join(right, "b").select("a", "b", "sa", "sb"), _verify(threshold), "doc_a bigint, doc_b bigint, jaccard double").distinct()
-    return near.union(copies.select(F.col("root").alias("doc_a"), F.col("id").alias("doc_b"), F.lit(1.0).alias("jaccard")).distinct())
+    member = labels.select(F.col("member").alias("id"))
+    alone = search.named(signed, member, False).select("id", F.col("id").alias("label"), "spots")
+    joined = search.named(signed, member).join(labels, F.col("id") == F.col("member"), "left").select("id", F.coalesce("label", "id").alias("label"), "spots")
+    listed = map_arrow(alone.union(joined), _lists(spark.sparkContext.broadcast(counts.tobytes()), threshold), "spot bigint, n int, id bigint, label bigint, b0 bigint, b1 bigint")
+    met = map_arrow(listed.repartition("spot").sortWithinPartitions("spot", "n"), _meet(threshold), "a bigint, b bigint, shared bigint, needed bigint")
+    pairs = met.where("a <> b").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("needed").alias("needed")).where("shared >= needed").select("a", "b")
+    second = search.matching(pairs, signed, "second")
+    groups = components(first.union(second), scratch, "groups")
+    scratch.drop("signed", "first-pairs", "second-pairs")
+    return groups.select(F.col("id").alias("doc_id"), F.col("root").alias("duplicate_of"))
 
 
 def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
