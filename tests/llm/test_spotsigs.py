@@ -125,3 +125,42 @@ def test_bitmaps_never_exclude_a_match():
         size = np.array([len(s) for s in sets])
         packed = np.packbits(bitmap, axis=1).view(np.int64)
         assert spotsigs._possible(size, packed, np.array([0]), np.array([1]), jaccard)[0]
+
+
+@pytest.mark.parametrize("block", [2000, 7])
+def test_pairs_by_brute_force(spark, monkeypatch, block):
+    """Every matching pair with its Jaccard value, in small groups, in chains and in groups that are split."""
+    monkeypatch.setattr(spotsigs, "BLOCK", block)
+    monkeypatch.setattr(spotsigs, "GATHER", 25)
+    rng = random.Random(6)
+    texts = [t for base in (prose(rng, rng.choice([30, 200])) for _ in range(25)) for t in [base] * rng.randrange(1, 3)]
+    t = prose(rng, 150)
+    for k in range(30):
+        texts.append(list(t))
+        t = [f"new{k}x{i}" if rng.random() < 0.05 else w for i, w in enumerate(t)]
+    big = prose(rng, 120)
+    texts += [[f"word{rng.randrange(3000)}" if rng.random() < 0.05 else w for w in big] for _ in range(40)]
+    rng.shuffle(texts)
+    texts = [" ".join(t) for t in texts]
+    sets = [plain_spots(t) for t in texts]
+    want = {}
+    for i in range(len(sets)):
+        for j in range(i + 1, len(sets)):
+            shared, either = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            if min(len(sets[i]), len(sets[j])) >= spotsigs.MIN_SPOTS and shared >= 0.6 * either - 1e-9:
+                want[i, j] = round(shared / either, 6)
+    roots = components(len(texts), want)
+    chained = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if roots.get(i, i) == roots.get(j, j)}
+    assert len(chained) > len(want) > 100  # some documents of a group don't match one another
+    got = spotsigs.similar_pairs(spark.createDataFrame(list(enumerate(texts)), SCHEMA).repartition(6)).collect()
+    assert len(got) == len(want) and {(r.doc_a, r.doc_b): r.jaccard for r in got} == want
+    assert all(r.duplicate_of == roots.get(r.doc_a, r.doc_a) for r in got)
+
+
+def test_query_returns_pairs(spark, tmp_path):
+    text = "the river was a slow road and the town is a quiet place that was the home of a poet"
+    rows = [(1, text), (2, text), (3, text + " the end of story"), (1, "other words")]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_a, r.doc_b): r.jaccard for r in spotsigs.op7_spotsigs(spark, str(tmp_path)).collect()}
+    n = len(plain_spots(rows[2][1]))
+    assert got[1, 2] == 1 and got[1, 3] == got[2, 3] == round(len(plain_spots(text)) / n, 6)

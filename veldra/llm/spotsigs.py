@@ -16,6 +16,10 @@ exactly in two rounds:
    set length, and each meets only the stretch whose length allows the threshold; bitmaps
    bound the overlap from above; pairs that share fewer than l spots of the lists are
    dropped; the rest is compared in full.
+
+Every matching pair lies within a group, so the pairs themselves, with their Jaccard values, come from a third
+step: the sets of each group are brought together once and all of its pairs are compared. Groups of more than
+``BLOCK`` documents are split into blocks, and each two blocks meet in a task of their own.
 """
 
 from __future__ import annotations
@@ -52,6 +56,10 @@ TABLES = 8
 SHARE = 8
 CELLS = 1 << 16
 BITMAP = 128
+#: Documents of a group that are compared at once; larger groups are split.
+BLOCK = 2000
+#: Rows of whole groups that a worker gathers before it compares them.
+GATHER = 2000
 #: Bits of the filter that keeps documents that no pair names out of a join; its size is fixed.
 FILTER = 1 << 23
 
@@ -310,6 +318,80 @@ def _verify(threshold: float):
     return run
 
 
+def _similar(threshold: float, cell: np.ndarray, block: np.ndarray, split: np.ndarray, ids: np.ndarray, codes: np.ndarray, bounds: np.ndarray):
+    """(rows a, rows b, Jaccard) of the matching pairs within each cell; in a split cell only those across its two blocks."""
+    n = np.diff(bounds)
+    order = np.lexsort((n, cell))
+    size = n[order]
+    _, codes = np.unique(codes[np.repeat(bounds[:-1][order] - np.cumsum(size) + size, size) + np.arange(len(codes))], return_inverse=True)
+    ends = np.cumsum(size)
+    starts = ends - size
+    cell, block, split, ids = cell[order], block[order], split[order], ids[order]
+    # Partners of a row: the following ones of its cell whose length allows the threshold.
+    wide = int(size.max()) + 1
+    last = np.searchsorted(cell * wide + size, cell * wide + np.minimum(np.floor(size / threshold + 1e-9).astype(np.int64), wide - 1), "right")
+    mark = np.zeros(int(codes.max()) + 1, np.int32)
+    out_a, out_b, out_j = [], [], []
+    for r in np.flatnonzero(last > np.arange(len(size)) + 1).tolist():
+        own = codes[starts[r] : ends[r]]
+        mark[own] = 1
+        lo, hi = r + 1, int(last[r])
+        shared = np.add.reduceat(mark[codes[starts[lo] : ends[hi - 1]]], starts[lo:hi] - starts[lo])
+        mark[own] = 0
+        jaccard = shared / (size[r] + size[lo:hi] - shared)
+        ok = (shared >= threshold * (size[r] + size[lo:hi] - shared) - 1e-9) & (ids[lo:hi] != ids[r])
+        if split[r]:
+            ok &= block[lo:hi] != block[r]
+        at = np.flatnonzero(ok)
+        out_a.append(np.full(len(at), r))
+        out_b.append(at + lo)
+        out_j.append(jaccard[at])
+    if not out_a:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return order[np.concatenate(out_a)], order[np.concatenate(out_b)], np.concatenate(out_j)
+
+
+def _within(threshold: float, gather: int):
+    """All matching pairs of each group; rows (root, x, y, block, id, spots) come sorted by cell (root, x, y)."""
+
+    def pairs(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(rows).combine_chunks()
+        root, x, y, block, ids = (as_array(whole.column(k)).to_numpy() for k in range(5))
+        codes, bounds = _unpack(whole.column(5))
+        new = (root[1:] != root[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+        a, b, jaccard = _similar(threshold, np.concatenate(([0], np.cumsum(new))), block, x != y, ids, codes, bounds)
+        low, high, root = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b]), root[a]
+        # Rows that share a doc_id are in one block, so their pairs are all here; the nearest one counts.
+        rank = np.lexsort((-jaccard, high, low))
+        low, high, root, jaccard = low[rank], high[rank], root[rank], jaccard[rank]
+        first = np.ones(len(low), bool)
+        first[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+        return pa.RecordBatch.from_arrays([pa.array(low[first]), pa.array(high[first]), pa.array(np.round(jaccard[first], 6)), pa.array(root[first])], ["doc_a", "doc_b", "jaccard", "duplicate_of"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch.column(k).to_numpy() for k in range(3)], 1)
+            cuts = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
+            if last is not None and (key[0] != last).any():
+                cuts = np.concatenate(([0], cuts))
+            last, done = key[-1], 0
+            for cut in cuts.tolist():
+                if count + cut - done >= gather:
+                    held.append(batch.slice(done, cut - done))
+                    yield pairs(held)
+                    held, count, done = [], 0, cut
+            held.append(batch.slice(done))
+            count += batch.num_rows - done
+        if count:
+            yield pairs(held)
+
+    return run
+
+
 class _Search:
     def __init__(self, spark: SparkSession, scratch: Scratch, threshold: float):
         self.spark, self.scratch, self.threshold = spark, scratch, threshold
@@ -330,23 +412,19 @@ class _Search:
         return self.scratch.save(found, name)
 
 
-def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, chain: int = CHAIN, min_spots: int = MIN_SPOTS) -> DataFrame:
-    """(doc_id, duplicate_of) for each document with a matching one of smaller doc_id in its group.
-
-    ``duplicate_of`` is the least doc_id of the group, a connected component of the matching pairs.
-
-    Defined results: rows whose doc_id is null, whose text is null, or whose set has fewer than ``min_spots`` spots
-    (as empty and very short texts) are left out. Rows that share a doc_id are one document; if their texts differ,
-    it matches what any of them matches. Texts of any length are read whole. An empty table gives no rows. Other
-    columns are ignored.
-    """
+def _check(threshold: float, min_spots: int) -> None:
     if not 0 < threshold <= 1 or min_spots < 1:
         raise ValueError("threshold must lie in (0, 1], min_spots be positive")
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
-    search = _Search(spark, scratch, threshold)
+
+
+def _signed(docs: DataFrame, scratch: Scratch, chain: int, min_spots: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null and text is not null")
-    signed = scratch.save(map_arrow(rows, _sign(chain, min_spots), "id bigint, spots binary"), "signed")
+    return scratch.save(map_arrow(rows, _sign(chain, min_spots), "id bigint, spots binary"), "signed")
+
+
+def _groups(search: _Search, signed: DataFrame) -> DataFrame:
+    """(id, root) of the groups of matching documents, but for the roots."""
+    spark, scratch, threshold = search.spark, search.scratch, search.threshold
     # First round: everyone with the least id under each pair of min-hash values.
     minima = map_arrow(signed, _minima, "key bigint, id bigint")
     stars = minima.withColumn("least", F.min("id").over(Window.partitionBy("key"))).where("id > least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
@@ -364,9 +442,44 @@ def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, chain: int
     pairs = met.where("a <> b").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("needed").alias("needed")).where("shared >= needed").select("a", "b")
     second = search.matching(pairs, signed, "second")
     groups = components(first.union(second), scratch, "groups")
-    scratch.drop("signed", "first-pairs", "second-pairs")
+    scratch.drop("first-pairs", "second-pairs")
+    return groups
+
+
+def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, chain: int = CHAIN, min_spots: int = MIN_SPOTS) -> DataFrame:
+    """(doc_id, duplicate_of) for each document with a matching one of smaller doc_id in its group.
+
+    ``duplicate_of`` is the least doc_id of the group, a connected component of the matching pairs.
+
+    Defined results: rows whose doc_id is null, whose text is null, or whose set has fewer than ``min_spots`` spots
+    (as empty and very short texts) are left out. Rows that share a doc_id are one document; if their texts differ,
+    it matches what any of them matches. Texts of any length are read whole. An empty table gives no rows. Other
+    columns are ignored.
+    """
+    _check(threshold, min_spots)
+    scratch = Scratch(docs.sparkSession)
+    groups = _groups(_Search(docs.sparkSession, scratch, threshold), _signed(docs, scratch, chain, min_spots))
+    scratch.drop("signed")
     return groups.select(F.col("id").alias("doc_id"), F.col("root").alias("duplicate_of"))
 
 
+def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD, chain: int = CHAIN, min_spots: int = MIN_SPOTS) -> DataFrame:
+    """(doc_a, doc_b, jaccard, duplicate_of), doc_a < doc_b: every matching pair, with the least doc_id of its group.
+
+    The groups and the defined results are those of ``similar_documents``; of rows that share a doc_id the nearest counts.
+    """
+    _check(threshold, min_spots)
+    scratch = Scratch(docs.sparkSession)
+    search = _Search(docs.sparkSession, scratch, threshold)
+    signed = _signed(docs, scratch, chain, min_spots)
+    groups = _groups(search, signed)
+    members = groups.select("id", "root").union(groups.select(F.col("root").alias("id"), "root").distinct())
+    members = scratch.save(members.withColumn("k", F.ceil(F.count("*").over(Window.partitionBy("root")) / BLOCK).cast("bigint")).withColumnRenamed("id", "member"), "members")
+    sets = search.named(signed, members.select(F.col("member").alias("id"))).join(members, F.col("id") == F.col("member"))
+    sets = sets.withColumn("block", F.pmod(F.xxhash64("id"), F.col("k"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1)))
+    cells = sets.select("root", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "spots")
+    return map_arrow(cells.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y"), _within(threshold, GATHER), "doc_a bigint, doc_b bigint, jaccard double, duplicate_of bigint")
+
+
 def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_documents(table(spark, sf_dir, "documents"))
+    return similar_pairs(table(spark, sf_dir, "documents"))
