@@ -164,3 +164,21 @@ def test_query_returns_pairs(spark, tmp_path):
     got = {(r.doc_a, r.doc_b): r.jaccard for r in spotsigs.op7_spotsigs(spark, str(tmp_path)).collect()}
     n = len(plain_spots(rows[2][1]))
     assert got[1, 2] == 1 and got[1, 3] == got[2, 3] == round(len(plain_spots(text)) / n, 6)
+
+
+def test_copies_with_few_spots(spark):
+    """Short and anchorless texts match their exact copies, by their words in order, and nothing else."""
+    rng = random.Random(7)
+    menu = " ".join(f"item{rng.randrange(500)}" for _ in range(300))
+    texts = ["the end", "The END!", "end the", "the end end", menu, menu.upper(), menu + " item1", " ".join(reversed(menu.split())), "", "", "...", "...", "the big red house", "the big red house", "the big red barn", "one", "one"]
+    texts += ["the big red " + menu, menu + " the big red"]  # one spot, the same one
+    assert all(len(plain_spots(t)) < spotsigs.MIN_SPOTS for t in texts)
+    got = spotsigs.similar_pairs(spark.createDataFrame(list(enumerate(texts)), SCHEMA).repartition(3)).collect()
+    assert sorted((r.doc_a, r.doc_b, r.jaccard) for r in got) == [(0, 1, 1.0), (4, 5, 1.0), (12, 13, 1.0), (15, 16, 1.0)]
+
+
+def test_every_exact_copy_is_paired(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(100)
+    again = docs.union(docs.selectExpr("doc_id + 1000000000", "text"))
+    words = {r.doc_id for r in docs.collect() if any(c.isalnum() for c in r.text or "")}
+    assert {(a, a + 1000000000) for a in words} <= {(r.doc_a, r.doc_b) for r in spotsigs.similar_pairs(again).collect()}

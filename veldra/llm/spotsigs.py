@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from .arrays import U64, as_array, buffers, distinct, mix, slices, words
+from .arrays import U64, as_array, buffers, distinct, mix, row_sums, slices, words
 from .components import components
 from .scratch import Scratch, map_arrow, table
 
@@ -50,6 +50,8 @@ STOP = {
 CHAIN = 2
 THRESHOLD = 0.6
 MIN_SPOTS = 4
+#: Codes that stand for the whole word sequence of a document with fewer spots; two such sets are equal or have nothing in common.
+COPY = 3
 #: Pairs of min-hash values a document in the first round.
 TABLES = 8
 #: A further spot of the lists has to be shared for every so many of a set.
@@ -113,13 +115,35 @@ def _unpack(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return codes.reshape(-1).view("<u8"), bounds // 6
 
 
-def _sign(chain: int, least: int):
+def sequence_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, bounds): ``COPY`` codes of 48 bits for each text's sequence of words; none for a text without words."""
+    out, sizes = [], []
+    for a, b in slices(texts):
+        w = words(texts.slice(a, b - a))
+        place = np.arange(len(w.hash), dtype=np.int64) - w.first[:-1][w.doc]
+        keyed = mix(w.hash + mix(place.astype(U64)))
+        some = np.diff(w.first) > 0
+        codes = np.stack([mix(row_sums(mix(keyed + U64(k)), w.first)) >> U64(16) for k in range(COPY)], 1)
+        codes.sort(1)
+        out.append(codes[some].ravel())
+        sizes.append(some * COPY)
+    flat = np.concatenate(out) if out else np.zeros(0, U64)
+    return flat, np.concatenate(([0], np.cumsum(np.concatenate(sizes)))).astype(np.int64) if sizes else np.zeros(1, np.int64)
+
+
+def _sign(chain: int, least: int, copies: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes, bounds = spots(as_array(batch.column(1)), chain)
+            texts = as_array(batch.column(1))
+            codes, bounds = spots(texts, chain)
             size = np.diff(bounds)
             keep = np.flatnonzero(size >= least)
             codes = codes[np.repeat(size >= least, size)]
+            if copies:
+                few = np.flatnonzero(size < least)
+                whole, ends = sequence_codes(texts.take(pa.array(few)))
+                few = few[np.diff(ends) > 0]
+                keep, codes, size[few] = np.concatenate((keep, few)), np.concatenate((codes, whole)), COPY
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), _pack(codes, np.concatenate(([0], np.cumsum(size[keep]))))], ["id", "spots"])
 
     return run
@@ -417,9 +441,9 @@ def _check(threshold: float, min_spots: int) -> None:
         raise ValueError("threshold must lie in (0, 1], min_spots be positive")
 
 
-def _signed(docs: DataFrame, scratch: Scratch, chain: int, min_spots: int) -> DataFrame:
+def _signed(docs: DataFrame, scratch: Scratch, chain: int, min_spots: int, copies: bool) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null and text is not null")
-    return scratch.save(map_arrow(rows, _sign(chain, min_spots), "id bigint, spots binary"), "signed")
+    return scratch.save(map_arrow(rows, _sign(chain, min_spots, copies), "id bigint, spots binary"), "signed")
 
 
 def _groups(search: _Search, signed: DataFrame) -> DataFrame:
@@ -458,7 +482,7 @@ def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, chain: int
     """
     _check(threshold, min_spots)
     scratch = Scratch(docs.sparkSession)
-    groups = _groups(_Search(docs.sparkSession, scratch, threshold), _signed(docs, scratch, chain, min_spots))
+    groups = _groups(_Search(docs.sparkSession, scratch, threshold), _signed(docs, scratch, chain, min_spots, False))
     scratch.drop("signed")
     return groups.select(F.col("id").alias("doc_id"), F.col("root").alias("duplicate_of"))
 
@@ -466,12 +490,14 @@ def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, chain: int
 def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD, chain: int = CHAIN, min_spots: int = MIN_SPOTS) -> DataFrame:
     """(doc_a, doc_b, jaccard, duplicate_of), doc_a < doc_b: every matching pair, with the least doc_id of its group.
 
-    The groups and the defined results are those of ``similar_documents``; of rows that share a doc_id the nearest counts.
+    The groups and the defined results are those of ``similar_documents``, but documents with fewer than ``min_spots``
+    spots, too few to tell texts apart, match (with Jaccard 1) if their sequences of words are equal; only texts without
+    words are left out. Of rows that share a doc_id the nearest counts.
     """
     _check(threshold, min_spots)
     scratch = Scratch(docs.sparkSession)
     search = _Search(docs.sparkSession, scratch, threshold)
-    signed = _signed(docs, scratch, chain, min_spots)
+    signed = _signed(docs, scratch, chain, min_spots, True)
     groups = _groups(search, signed)
     members = groups.select("id", "root").union(groups.select(F.col("root").alias("id"), "root").distinct())
     members = scratch.save(members.withColumn("k", F.ceil(F.count("*").over(Window.partitionBy("root")) / BLOCK).cast("bigint")).withColumnRenamed("id", "member"), "members")
