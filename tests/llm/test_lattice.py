@@ -64,3 +64,23 @@ def test_edge_cases(spark):
     got = sorted((r.vec_a, r.vec_b, r.cosine) for r in lattice.near_vectors(docs).collect())
     assert got == [(1, 2, 1.0), (1, 3, 1.0), (1, 10, 1.0)]
     assert lattice.near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_copies_against_brute_force(spark, tmp_path):
+    """Groups of equal vectors: every copy with every other, and with all near vectors of its group."""
+    rng = np.random.default_rng(5)
+    base = unit(rng, 60)
+    x = np.concatenate([base, base[:20], base[:20], base[:5], near(rng, base[:30], 0.99), near(rng, base[:30], 0.99)[:10]]).astype(np.float32)
+    x = np.concatenate([x, x[105:115]])
+    order = rng.permutation(len(x))
+    x = x[order]
+    spark.createDataFrame([(int(k), v.tolist()) for k, v in enumerate(x)] + [(1000, [0.0] * 64), (1001, [0.0] * 64)], SCHEMA).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = lattice.op8_lattice_dedup(spark, str(tmp_path)).collect()
+    y = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    full = y @ y.T
+    want = {(i, j) for i, j in zip(*np.triu_indices(len(x), 1)) if full[i, j] >= lattice.THRESHOLD}
+    copies = {(i, j) for i, j in want if (x[i] == x[j]).all()}
+    pairs = {(r.vec_a, r.vec_b) for r in got}
+    assert len(copies) > 60 and copies <= pairs <= want and len(pairs) == len(got)
+    assert len(pairs) >= 0.98 * len(want)
+    assert all(abs(r.cosine - full[r.vec_a, r.vec_b]) < 1e-5 for r in got)

@@ -116,11 +116,12 @@ def _cosines(dim: int, threshold: float):
     return run
 
 
-def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE, seed: int = SEED) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE, seed: int = SEED, unfold: bool = False) -> DataFrame:
     """(vec_a, vec_b, cosine), vec_a < vec_b: the pairs of vectors with a cosine of at least ``threshold``.
 
     Equal vectors are folded: each copy is paired, with cosine 1, with the least vec_id of its group, and only that
-    one is paired with other vectors. The search is approximate: pairs at the threshold are found with a probability
+    one is paired with other vectors. With ``unfold`` every copy is paired with all other copies and with all that its
+    group is paired with; that is the full list, whose length grows with the square of the groups. The search is approximate: pairs at the threshold are found with a probability
     above 0.9, nearer ones almost surely.
 
     Defined results: rows whose vec_id or embedding is null, or whose embedding is empty, all zero, of another length
@@ -143,10 +144,19 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tables: int =
     left, right = kept.select(F.col("id").alias("vec_a"), F.col("v").alias("va")), kept.select(F.col("id").alias("vec_b"), F.col("v").alias("vb"))
     near = map_arrow(met.join(left, "vec_a").join(right, "vec_b").select("vec_a", "vec_b", "va", "vb"), _cosines(dim, threshold), "vec_a bigint, vec_b bigint, cosine double")
     # Copies are checked like the rest, which also leaves out vectors that cannot be compared.
+    if unfold:
+        copied = folded.where("id > root").select("root").distinct()
+        own = map_arrow(kept.join(copied, kept.id == copied.root, "left_semi").select(F.col("id").alias("vec_a"), F.col("id").alias("vec_b"), F.col("v").alias("va"), F.col("v").alias("vb")), _cosines(dim, threshold), "vec_a bigint, vec_b bigint, cosine double")
+        members = folded.select("root", "id").distinct().join(copied, "root", "left_semi")
+        left, right = members.select(F.col("root").alias("vec_a"), F.col("id").alias("a")), members.select(F.col("root").alias("vec_b"), F.col("id").alias("b"))
+        every = near.union(own).join(left, "vec_a", "left").join(right, "vec_b", "left").select(F.coalesce("a", "vec_a").alias("a"), F.coalesce("b", "vec_b").alias("b"), "vec_a", "vec_b", "cosine")
+        # Pairs within a group come in both directions. Where a vec_id has several vectors, the nearest counts.
+        pairs = every.where("vec_a <> vec_b and a <> b or a < b").select(F.least("a", "b").alias("vec_a"), F.greatest("a", "b").alias("vec_b"), "cosine")
+        return pairs.groupBy("vec_a", "vec_b").agg(F.max("cosine").alias("cosine"))
     same = folded.where("id > root").select(F.col("root").alias("vec_a"), F.col("id").alias("vec_b"), F.col("v").alias("va"), F.col("v").alias("vb"))
     copies = map_arrow(same, _cosines(dim, threshold), "vec_a bigint, vec_b bigint, cosine double")
     return near.union(copies.distinct())
 
 
 def op8_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_vectors(table(spark, sf_dir, "embeddings"))
+    return near_vectors(table(spark, sf_dir, "embeddings"), unfold=True)
