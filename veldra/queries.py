@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .plans.engine import run
 from .sources.collection import Collection
@@ -78,6 +78,19 @@ def _add(name: str, source: Callable[[SparkSession, str], Collection], query: st
         ORACLES[name] = sql
 
 
+def _ranked(df: DataFrame) -> DataFrame:
+    """An ordered DataFrame with each row's place, from 1, as ``rank``; no partition sees another's rows."""
+    schema = T.StructType([*df.schema.fields, T.StructField("rank", T.LongType())])
+    return df.sparkSession.createDataFrame(df.rdd.zipWithIndex().map(lambda row: (*row[0], row[1] + 1)), schema)
+
+
+def _add_whole(name: str, source: Callable[[SparkSession, str], Collection], query: str, columns: dict[str, str], sql: str) -> None:
+    """A query whose result is an order of its whole table, shown by ``rank``."""
+    _add(name, source, query, columns, sql)
+    ordered = QUERIES[name]
+    QUERIES[name] = lambda spark, sf_dir: _ranked(ordered(spark, sf_dir))
+
+
 _REGION, _NATION, _PART = _plain("region", "r_regionkey"), _plain("nation", "n_nationkey"), _plain("part", "p_partkey")
 _ORDERS, _CUSTOMER, _LINES = _plain("orders", "o_orderkey"), _plain("customer", "c_custkey"), _plain("lineitem", "l_orderkey")
 _ID = {"id": "CAST(_id AS BIGINT)"}
@@ -215,6 +228,25 @@ _add(
     {"id": "id"},
     f"SELECT o_orderkey AS id FROM orders LEFT JOIN (SELECT l_orderkey, list(l_quantity ORDER BY {_SORTED})[7] AS q FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey WHERE o_totalprice > 0 ORDER BY coalesce(q, 1000), o_orderkey DESC LIMIT 300",
 )
+_add("limit_order", _ORDERS, "find {o_totalprice: > 0} order .o_totalprice desc return {id: .o_orderkey, p: .o_totalprice} limit 25", {"id": "id", "p": "p"}, _TOP + "WHERE o_totalprice > 0 ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 25")
+# The same orders over the whole tables, where the place of every row counts.
+_ALL = "SELECT o_orderkey AS id, {0}row_number() OVER (ORDER BY {1}, o_orderkey DESC) AS rank FROM orders WHERE o_totalprice > 0"
+_add_whole("order_asc_whole", _ORDERS, "find {o_totalprice: > 0} order .o_totalprice return {id: .o_orderkey, p: .o_totalprice}", {"id": "id", "p": "p"}, _ALL.format("o_totalprice AS p, ", "o_totalprice"))
+_add_whole("order_desc_whole", _ORDERS, "find {o_totalprice: > 0} order .o_totalprice desc return {id: .o_orderkey, p: .o_totalprice}", {"id": "id", "p": "p"}, _ALL.format("o_totalprice AS p, ", "o_totalprice DESC"))
+_add_whole(
+    "order_multi_whole",
+    _ORDERS,
+    "find {o_totalprice: > 0} order .o_orderpriority desc, .o_orderstatus asc, .o_totalprice desc return {id: .o_orderkey}",
+    {"id": "id"},
+    _ALL.format("", "o_orderpriority DESC, o_orderstatus, o_totalprice DESC"),
+)
+_add_whole(
+    "order_default_whole",
+    order_docs,
+    "find {o_totalprice: > 0} order .items[6].l_quantity default=1000 asc return {id: .o_orderkey}",
+    {"id": "id"},
+    f"SELECT o_orderkey AS id, row_number() OVER (ORDER BY coalesce(q, 1000), o_orderkey DESC) AS rank FROM orders LEFT JOIN (SELECT l_orderkey, list(l_quantity ORDER BY {_SORTED})[7] AS q FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey WHERE o_totalprice > 0",
+)
 _add("limit_plain", _ORDERS, 'find {o_orderstatus: == "O"} limit 50', _ID, _O + "o_orderstatus = 'O' ORDER BY o_orderkey LIMIT 50")
 _add("limit_group", _ORDERS, "find {o_totalprice: > 0} return {p: group(.o_orderpriority), n: count()} limit 3", {"p": "p", "n": "n"}, "SELECT o_orderpriority AS p, count(*) AS n FROM orders GROUP BY 1 ORDER BY 1 LIMIT 3")
 
@@ -278,6 +310,13 @@ _add(
     {"id": "CAST(id AS BIGINT)"},
     "SELECT event_id AS id FROM events ORDER BY CASE WHEN event_id % 7 = 0 THEN 1 ELSE event_id % 7 END DESC, CASE WHEN event_id % 7 IN (4, 6) THEN event_id END DESC NULLS LAST, CASE WHEN event_id % 7 = 5 THEN 's' || event_id END DESC NULLS LAST, event_id DESC LIMIT 500",
 )
+_add_whole(
+    "collation_order_whole",
+    mixed_docs,
+    "find {n: >= 0} order .v desc return {id: .n}",
+    {"id": "CAST(id AS BIGINT)"},
+    "SELECT event_id AS id, row_number() OVER (ORDER BY CASE WHEN event_id % 7 = 0 THEN 1 ELSE event_id % 7 END DESC, CASE WHEN event_id % 7 IN (4, 6) THEN event_id END DESC NULLS LAST, CASE WHEN event_id % 7 = 5 THEN 's' || event_id END DESC NULLS LAST, event_id DESC) AS rank FROM events",
+)
 _add(
     "collation_minmax",
     mixed_docs,
@@ -309,6 +348,13 @@ _add("score_boost", _PART, 'find {p_name: ~="red"^2 || p_name: ~="plate"} return
 _add(
     "order_score", _PART, _EITHER + "order score() desc, .p_retailprice desc return {id: .p_partkey, s: score()} limit 40", {"id": "id", "s": "round(s, 4)"}, _WEIGHTS + "SELECT s.id, round(norm * (x + y) * m / 2, 4) AS s FROM s JOIN part ON p_partkey = s.id ORDER BY round(norm * (x + y) * m / 2, 4) DESC, p_retailprice DESC, s.id DESC LIMIT 40"
 )
+_add_whole(
+    "order_score_whole",
+    _PART,
+    _EITHER + "order score() desc, .p_retailprice desc return {id: .p_partkey, s: score()}",
+    {"id": "id", "s": "round(s, 4)"},
+    _WEIGHTS + "SELECT s.id, round(norm * (x + y) * m / 2, 4) AS s, row_number() OVER (ORDER BY round(norm * (x + y) * m / 2, 4) DESC, p_retailprice DESC, s.id DESC) AS rank FROM s JOIN part ON p_partkey = s.id",
+)
 _add("score_binary", _PART, "find {p_size: >= 35 || p_size: == 50} return {id: .p_partkey, s: score()}", {"id": "id", "s": "round(s, 5)"}, "SELECT p_partkey AS id, CASE WHEN p_size = 50 THEN 1.0 ELSE 0.25 END::DOUBLE AS s FROM part WHERE p_size >= 35")
 
 # Geometry
