@@ -84,3 +84,13 @@ def test_copies_against_brute_force(spark, tmp_path):
     assert len(copies) > 60 and copies <= pairs <= want and len(pairs) == len(got)
     assert len(pairs) >= 0.98 * len(want)
     assert all(abs(r.cosine - full[r.vec_a, r.vec_b]) < 1e-5 for r in got)
+
+
+def test_shared_ids_and_several_lengths(spark):
+    """A vec_id has the partners of all its vectors, and vectors of every length are searched."""
+    rng = np.random.default_rng(6)
+    a, b, c = unit(rng, 3).tolist()
+    short = unit(rng, 2, 48).tolist()
+    rows = [(1, a), (1, b), (1, c), (2, a), (3, b), (4, near(rng, np.array([c]), 0.995)[0].tolist()), (5, short[0]), (6, short[0]), (7, short[1]), (8, [*short[0], None])]
+    got = lattice.near_vectors(spark.createDataFrame(rows, SCHEMA).repartition(3), unfold=True).collect()
+    assert sorted((r.vec_a, r.vec_b) for r in got) == [(1, 2), (1, 3), (1, 4), (5, 6)]

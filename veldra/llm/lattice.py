@@ -90,28 +90,39 @@ def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return x[fine] / norm[fine][:, None], good[fine]
 
 
-def _file(dim: int, tables: int, probes: int, scale: float, seed: int):
+#: A distinct vector: the least vec_id of its group, and a hash that tells vectors of one vec_id apart.
+KEY = "struct<root:bigint,hash:bigint>"
+
+
+def _lengths(column: pa.Array) -> list[int]:
+    return [n for n in as_array(column).value_lengths().unique().to_pylist() if n]
+
+
+def _file(tables: int, probes: int, scale: float, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 1024):
                 part = batch.slice(a, 1024)
-                x, at = _matrix(part.column(1), dim)
-                c = cells(x, tables, probes, scale, seed).reshape(len(x), -1)
-                ids = part.column(0).take(pa.array(np.repeat(at, c.shape[1])))
-                own = np.tile(np.arange(c.shape[1]) % probes == 0, len(x))
-                yield pa.RecordBatch.from_arrays([pa.array(c.ravel()), ids, pa.array(own)], ["cell", "id", "own"])
+                for dim in _lengths(part.column(1)):
+                    x, at = _matrix(part.column(1), dim)
+                    c = mix(cells(x, tables, probes, scale, seed).view(U64) + U64(dim)).view(np.int64).reshape(len(x), tables * probes)
+                    ids = part.column(0).take(pa.array(np.repeat(at, c.shape[1])))
+                    own = np.tile(np.arange(c.shape[1]) % probes == 0, len(x))
+                    yield pa.RecordBatch.from_arrays([pa.array(c.ravel()), ids, pa.array(own)], ["cell", "id", "own"])
 
     return run
 
 
-def _cosines(dim: int, threshold: float):
+def _cosines(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            (x, i), (y, j) = _matrix(batch.column(2), dim), _matrix(batch.column(3), dim)
-            cosine = (x * y).sum(1)
-            near = np.flatnonzero(cosine >= threshold)
-            rows = batch.take(pa.array(i[near]))
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(np.round(np.minimum(cosine[near], 1.0), 6))], ["vec_a", "vec_b", "cosine"])
+            for dim in _lengths(batch.column(2)):
+                (x, i), (y, j) = _matrix(batch.column(2), dim), _matrix(batch.column(3), dim)
+                both, i, j = np.intersect1d(i, j, assume_unique=True, return_indices=True)
+                cosine = (x[i] * y[j]).sum(1)
+                near = np.flatnonzero(cosine >= threshold)
+                rows = batch.take(pa.array(both[near]))
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(np.round(np.minimum(cosine[near], 1.0), 6))], ["vec_a", "vec_b", "cosine"])
 
     return run
 
@@ -121,41 +132,39 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tables: int =
 
     Equal vectors are folded: each copy is paired, with cosine 1, with the least vec_id of its group, and only that
     one is paired with other vectors. With ``unfold`` every copy is paired with all other copies and with all that its
-    group is paired with; that is the full list, whose length grows with the square of the groups. The search is approximate: pairs at the threshold are found with a probability
-    above 0.9, nearer ones almost surely.
+    group is paired with; that is the full list, whose length grows with the square of the groups. The search is
+    approximate: pairs at the threshold are found with a probability above 0.9, nearer ones almost surely.
 
-    Defined results: rows whose vec_id or embedding is null, or whose embedding is empty, all zero, of another length
-    than the longest common one, or has a null, NaN or infinite number, are left out. Rows that share a vec_id but not
-    the vector are never paired with one another. An empty table gives no rows. Other columns are ignored.
+    Defined results: rows whose vec_id or embedding is null, or whose embedding is empty, all zero, or
+    has a null, NaN or infinite number, are left out. Only vectors of one length are compared. Rows that share a vec_id
+    but not the vector are never paired with one another; the vec_id is paired with what any of them is near to. An empty table gives no rows. Other columns are ignored.
     """
     scratch = Scratch(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("id"), F.col("embedding").cast("array<double>").alias("v")).where("id is not null and size(v) > 0")
-    sizes = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
-    if sizes is None:
-        return vectors.sparkSession.createDataFrame([], "vec_a bigint, vec_b bigint, cosine double")
-    dim = sizes.dim
-    folded = rows.where(F.size("v") == dim).withColumn("root", F.min("id").over(Window.partitionBy(F.xxhash64("v"), F.xxhash64(F.lit(1), "v"))))
+    same = Window.partitionBy(F.size("v"), F.xxhash64("v"), F.xxhash64(F.lit(1), "v"))
+    folded = rows.withColumn("root", F.min("id").over(same)).withColumn("key", F.struct("root", F.xxhash64(F.size("v"), "v").alias("hash")))
     folded = scratch.save(folded, "folded")
-    kept = folded.where("id = root").select("id", "v").dropDuplicates(["id"])
-    filed = scratch.save(map_arrow(kept, _file(dim, tables, probes, scale, seed), "cell bigint, id bigint, own boolean"), "filed")
+    kept = folded.where("id = root").select(F.col("key").alias("id"), "v").dropDuplicates(["id"])
+    filed = scratch.save(map_arrow(kept, _file(tables, probes, scale, seed), f"cell bigint, id {KEY}, own boolean"), "filed")
     own = filed.where("own").select("cell", F.col("id").alias("a"))
     looks = filed.select("cell", F.col("id").alias("b"))
     met = own.join(looks, "cell").where("a <> b").select(F.least("a", "b").alias("vec_a"), F.greatest("a", "b").alias("vec_b")).distinct()
     left, right = kept.select(F.col("id").alias("vec_a"), F.col("v").alias("va")), kept.select(F.col("id").alias("vec_b"), F.col("v").alias("vb"))
-    near = map_arrow(met.join(left, "vec_a").join(right, "vec_b").select("vec_a", "vec_b", "va", "vb"), _cosines(dim, threshold), "vec_a bigint, vec_b bigint, cosine double")
+    near = map_arrow(met.join(left, "vec_a").join(right, "vec_b").select("vec_a", "vec_b", "va", "vb"), _cosines(threshold), f"vec_a {KEY}, vec_b {KEY}, cosine double")
     # Copies are checked like the rest, which also leaves out vectors that cannot be compared.
     if unfold:
-        copied = folded.where("id > root").select("root").distinct()
-        own = map_arrow(kept.join(copied, kept.id == copied.root, "left_semi").select(F.col("id").alias("vec_a"), F.col("id").alias("vec_b"), F.col("v").alias("va"), F.col("v").alias("vb")), _cosines(dim, threshold), "vec_a bigint, vec_b bigint, cosine double")
-        members = folded.select("root", "id").distinct().join(copied, "root", "left_semi")
-        left, right = members.select(F.col("root").alias("vec_a"), F.col("id").alias("a")), members.select(F.col("root").alias("vec_b"), F.col("id").alias("b"))
-        every = near.union(own).join(left, "vec_a", "left").join(right, "vec_b", "left").select(F.coalesce("a", "vec_a").alias("a"), F.coalesce("b", "vec_b").alias("b"), "vec_a", "vec_b", "cosine")
+        copied = folded.where("id > root").select("key").distinct()
+        own = map_arrow(kept.join(copied, kept.id == copied.key, "left_semi").select(F.col("id").alias("vec_a"), F.col("id").alias("vec_b"), F.col("v").alias("va"), F.col("v").alias("vb")), _cosines(threshold), f"vec_a {KEY}, vec_b {KEY}, cosine double")
+        members = folded.select("key", "id").distinct().join(copied, "key", "left_semi")
+        left, right = members.select(F.col("key").alias("vec_a"), F.col("id").alias("a")), members.select(F.col("key").alias("vec_b"), F.col("id").alias("b"))
+        every = near.union(own).join(left, "vec_a", "left").join(right, "vec_b", "left").select(F.coalesce("a", "vec_a.root").alias("a"), F.coalesce("b", "vec_b.root").alias("b"), "vec_a", "vec_b", "cosine")
         # Pairs within a group come in both directions. Where a vec_id has several vectors, the nearest counts.
         pairs = every.where("vec_a <> vec_b and a <> b or a < b").select(F.least("a", "b").alias("vec_a"), F.greatest("a", "b").alias("vec_b"), "cosine")
         return pairs.groupBy("vec_a", "vec_b").agg(F.max("cosine").alias("cosine"))
     same = folded.where("id > root").select(F.col("root").alias("vec_a"), F.col("id").alias("vec_b"), F.col("v").alias("va"), F.col("v").alias("vb"))
-    copies = map_arrow(same, _cosines(dim, threshold), "vec_a bigint, vec_b bigint, cosine double")
-    return near.union(copies.distinct())
+    copies = map_arrow(same, _cosines(threshold), "vec_a bigint, vec_b bigint, cosine double")
+    roots = near.select(F.col("vec_a.root").alias("vec_a"), F.col("vec_b.root").alias("vec_b"), "cosine").where("vec_a <> vec_b")
+    return roots.union(copies).groupBy("vec_a", "vec_b").agg(F.max("cosine").alias("cosine"))
 
 
 def op8_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
