@@ -87,3 +87,33 @@ def test_edge_cases(spark):
     assert mixing.mix(blank).count() == 3
     with pytest.raises(ValueError):
         mixing.mix_rates(docs, source_weights={"other": 1.0})
+
+
+def test_contradicting_targets(spark):
+    """A source in one language only: its target is also that of the language."""
+    rows = [(k, "w " * (5 + k % 7), *(("a", "en") if k % 3 else ("b", "fr"))) for k in range(60)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    with pytest.raises(ValueError, match="contradict"):
+        mixing.mix_rates(docs, source_weights={"a": 0.9, "b": 0.1}, lang_weights={"en": 0.1, "fr": 0.9})
+    with pytest.warns(UserWarning, match="moved"):
+        got = mixing.mix_rates(docs).toPandas()
+    # The source targets hold all the same.
+    got["mass"] = got.tokens * got.rate
+    share = got.groupby("source").tokens.sum() / got.tokens.sum()
+    target = share**mixing.SOURCE_POWER / (share**mixing.SOURCE_POWER).sum()
+    assert np.allclose(got.groupby("source").mass.sum() / got.tokens.sum(), target, atol=1e-6)
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_clashing_names(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    names = ["s", "a", "l", "t", "w", "n", "key_", "group_", "lang_", "tokens_", "rate_", "copies_", "copy_", "source_tilt_", "c0", "c1", "added", "a.b", "a`b", "__s", "__copies", "__t"]
+    rows = corpus(100, 4)
+    docs = spark.createDataFrame([(*r, *(f"{n}{r[0]}" for n in names)) for r in rows], SCHEMA + "".join(f", `{n.replace('`', '``')}` string" for n in names))
+    copies = {r.doc_id: r.copies for r in mixing.mix_rates(docs).collect()}
+    got = mixing.mix(docs)
+    assert got.columns == docs.columns
+    found = got.collect()
+    assert len(found) == sum(copies.values())
+    assert all(tuple(r)[4:] == tuple(f"{n}{r[0]}" for n in names) for r in found)

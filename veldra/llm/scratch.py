@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
-
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 from ..deploy import ship
 
@@ -51,13 +51,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: Bytes of an Arrow batch; by default Spark sends 64 MB at once, which many executors can't spare beside their heap.
 BATCH_BYTES = 4 << 20
+_UNITS = {"": 0, "b": 0, "k": 10, "kb": 10, "m": 20, "mb": 20, "g": 30, "gb": 30, "t": 40, "tb": 40, "p": 50, "pb": 50}
+
+
+def size_in_bytes(text: str) -> int:
+    """A size as Spark's settings write it (``16m``, ``64kb``, ``4096``)."""
+    found = re.fullmatch(r"\s*(-?\d+)\s*([a-z]*)\s*", text.lower())
+    if not found or found[2] not in _UNITS:
+        raise ValueError(f"{text!r} is no size")
+    return int(found[1]) << _UNITS[found[2]]
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """A column name like each of ``names`` that ``df`` has no column of, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``df.mapInArrow`` with batches of a few MB, so that what a Python worker holds follows the batch, not the partition."""
+    """``df.mapInArrow`` with batches of a few MB, so that what a Python worker holds follows the batch, not the partition.
+
+    ``function`` sees the columns by place; their names are c0, c1, ... there, as names with dots or ones that occur
+    twice can't be passed on. The session's setting for the size of Arrow batches is lowered to BATCH_BYTES where it
+    is larger, for Spark reads it when the plan runs.
+    """
     ship(df.sparkSession)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(df.sparkSession.conf.get(key, "67108864b").rstrip("b")) > BATCH_BYTES:
+    if not 0 < size_in_bytes(df.sparkSession.conf.get(key, "64m")) <= BATCH_BYTES:
         df.sparkSession.conf.set(key, str(BATCH_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,7 +93,19 @@ def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iter
         if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
             trim(0)
 
-    return df.mapInArrow(run, schema)
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns)))).mapInArrow(run, schema)
+
+
+def add_column(df: DataFrame, read: str, name: str, kind: T.DataType, values: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """``df`` with a last column ``name``, computed from the column ``read``."""
+    at = df.columns.index(read)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values(batch.column(at)))], [*batch.schema.names, "added"])
+
+    fields = [T.StructField(f"c{k}", f.dataType, f.nullable) for k, f in enumerate(df.schema.fields)]
+    return map_arrow(df, run, T.StructType([*fields, T.StructField("added", kind)])).toDF(*df.columns, name)
 
 
 def filter_rows(df: DataFrame, columns: list[str], accept: Callable[..., np.ndarray]) -> DataFrame:
@@ -78,4 +116,4 @@ def filter_rows(df: DataFrame, columns: list[str], accept: Callable[..., np.ndar
         for batch in batches:
             yield batch.filter(pa.array(accept(*(batch.column(k) for k in at)), pa.bool_()))
 
-    return map_arrow(df, run, df.schema)
+    return map_arrow(df, run, T.StructType([T.StructField(f"c{k}", f.dataType, f.nullable) for k, f in enumerate(df.schema.fields)])).toDF(*df.columns)
