@@ -123,47 +123,79 @@ def test_bitmaps_never_exclude_a_match():
         both = len(np.intersect1d(*sets))
         jaccard = both / (len(sets[0]) + len(sets[1]) - both)
         size = np.array([len(s) for s in sets])
-        packed = np.packbits(bitmap, axis=1).view(np.int64)
+        packed = np.packbits(bitmap, axis=1).view(np.int64)[:, 0]
         assert spotsigs._possible(size, packed, np.array([0]), np.array([1]), jaccard)[0]
 
 
-@pytest.mark.parametrize("block", [2000, 7])
-def test_pairs_by_brute_force(spark, monkeypatch, block):
-    """Every matching pair with its Jaccard value, in small groups, in chains and in groups that are split."""
-    monkeypatch.setattr(spotsigs, "BLOCK", block)
-    monkeypatch.setattr(spotsigs, "GATHER", 25)
-    rng = random.Random(6)
-    texts = [t for base in (prose(rng, rng.choice([30, 200])) for _ in range(25)) for t in [base] * rng.randrange(1, 3)]
+def mixed_corpus(rng):
+    texts = [t for base in (prose(rng, rng.choice([30, 200])) for _ in range(25)) for t in [base] * rng.randrange(1, 4)]
     t = prose(rng, 150)
     for k in range(30):
         texts.append(list(t))
         t = [f"new{k}x{i}" if rng.random() < 0.05 else w for i, w in enumerate(t)]
     big = prose(rng, 120)
     texts += [[f"word{rng.randrange(3000)}" if rng.random() < 0.05 else w for w in big] for _ in range(40)]
+    passage = prose(rng, 100)
+    texts += [prose(rng, rng.choice([30, 60, 90])) + passage for _ in range(60)]
     rng.shuffle(texts)
-    texts = [" ".join(t) for t in texts]
+    return [" ".join(t) for t in texts]
+
+
+@pytest.mark.parametrize("block, limit", [(2000, 4000), (7, 6)])
+def test_classes_and_pairs_by_brute_force(spark, monkeypatch, block, limit):
+    """Every link between different texts, in small groups, chains, groups and lists that are split, and with a shared passage."""
+    monkeypatch.setattr(spotsigs, "BLOCK", block)
+    monkeypatch.setattr(spotsigs, "LIST", limit)
+    monkeypatch.setattr(spotsigs, "GATHER", 25)
+    texts = mixed_corpus(random.Random(6))
     sets = [plain_spots(t) for t in texts]
+    few = [len(s) < spotsigs.MIN_SPOTS for s in sets]
+    key = [tuple(t.lower().split()) if f else frozenset(s) for t, s, f in zip(texts, sets, few)]
+    own = {}
+    for i, k in enumerate(key):
+        own.setdefault(k, i)
+    reps = [i for i in own.values() if not few[i]]
     want = {}
-    for i in range(len(sets)):
-        for j in range(i + 1, len(sets)):
+    for x, i in enumerate(reps):
+        for j in reps[x + 1 :]:
             shared, either = len(sets[i] & sets[j]), len(sets[i] | sets[j])
-            if min(len(sets[i]), len(sets[j])) >= spotsigs.MIN_SPOTS and shared >= 0.6 * either - 1e-9:
+            if shared >= 0.6 * either - 1e-9:
                 want[i, j] = round(shared / either, 6)
     roots = components(len(texts), want)
-    chained = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if roots.get(i, i) == roots.get(j, j)}
+    chained = {(i, j) for i in reps for j in reps if i < j and roots.get(i, i) == roots.get(j, j)}
     assert len(chained) > len(want) > 100  # some documents of a group don't match one another
-    got = spotsigs.similar_pairs(spark.createDataFrame(list(enumerate(texts)), SCHEMA).repartition(6)).collect()
-    assert len(got) == len(want) and {(r.doc_a, r.doc_b): r.jaccard for r in got} == want
-    assert all(r.duplicate_of == roots.get(r.doc_a, r.doc_a) for r in got)
-
-
-def test_query_returns_pairs(spark, tmp_path):
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA).repartition(6)
+    got = spotsigs.similar_pairs(docs).collect()
+    assert len(got) == len(want) and {(r.class_a, r.class_b): r.jaccard for r in got} == want
+    links = {i: [j for p, j in want.items() if i in p] for i in reps}
+    expected = {}
+    for i, k in enumerate(key):
+        rep, copies = own[k], key.count(k)
+        near = links.get(rep, [])
+        if copies > 1 or near:
+            expected[i] = (rep, copies, len(near), max(near) if near else None, roots.get(rep, rep))
+    rows = spotsigs.similar_classes(docs).collect()
+    assert len(rows) == len(expected) and {r.doc_id: tuple(r)[1:] for r in rows} == expected
+
+
+def test_query(spark, tmp_path):
     text = "the river was a slow road and the town is a quiet place that was the home of a poet"
-    rows = [(1, text), (2, text), (3, text + " the end of story"), (1, "other words")]
+    rows = [(1, text), (2, text), (3, text + " the end of story"), (1, "other words"), (4, "unlike all others"), (2, text)]
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
-    got = {(r.doc_a, r.doc_b): r.jaccard for r in spotsigs.op7_spotsigs(spark, str(tmp_path)).collect()}
-    n = len(plain_spots(rows[2][1]))
-    assert got[1, 2] == 1 and got[1, 3] == got[2, 3] == round(len(plain_spots(text)) / n, 6)
+    got = {(r.doc_id, r.class_id): (r.copies, r.links, r.duplicate_of) for r in spotsigs.op7_spotsigs(spark, str(tmp_path)).collect()}
+    by = {d: {k: v for k, v in got.items() if k[0] == d} for d in (1, 2, 3, 4)}
+    assert len(by[1]) == 2 and all(k[1] < 0 for k in by[1])  # two texts under one doc_id
+    assert sorted(by[1].values()) == [(1, 0, 1), (2, 1, 1)]
+    assert list(by[2].values()) == [(2, 1, 1)] and list(by[3].values()) == [(1, 1, 1)] and not by[4]
+
+
+def test_length_partitions_miss_no_pair():
+    for threshold in (0.3, 0.6, 0.8, 1.0):
+        n, m = (x.ravel() for x in np.meshgrid(np.arange(1, 400), np.arange(1, 400)))
+        ok = (n <= m) & (n >= np.ceil(threshold * m - 1e-9))
+        n, m = n[ok], m[ok]
+        (p, guest), (q, _) = spotsigs.length_part(n, threshold), spotsigs.length_part(m, threshold)
+        assert ((p == q) | (q == p + 1) & guest).all()
 
 
 def test_copies_with_few_spots(spark):
@@ -173,12 +205,13 @@ def test_copies_with_few_spots(spark):
     texts = ["the end", "The END!", "end the", "the end end", menu, menu.upper(), menu + " item1", " ".join(reversed(menu.split())), "", "", "...", "...", "the big red house", "the big red house", "the big red barn", "one", "one"]
     texts += ["the big red " + menu, menu + " the big red"]  # one spot, the same one
     assert all(len(plain_spots(t)) < spotsigs.MIN_SPOTS for t in texts)
-    got = spotsigs.similar_pairs(spark.createDataFrame(list(enumerate(texts)), SCHEMA).repartition(3)).collect()
-    assert sorted((r.doc_a, r.doc_b, r.jaccard) for r in got) == [(0, 1, 1.0), (4, 5, 1.0), (12, 13, 1.0), (15, 16, 1.0)]
+    got = spotsigs.similar_classes(spark.createDataFrame(list(enumerate(texts)), SCHEMA).repartition(3)).collect()
+    assert sorted((r.class_id, r.doc_id, r.copies, r.links) for r in got) == [(a, b, 2, 0) for a in (0, 4, 12, 15) for b in (a, a + 1)]
 
 
 def test_every_exact_copy_is_paired(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(100)
     again = docs.union(docs.selectExpr("doc_id + 1000000000", "text"))
     words = {r.doc_id for r in docs.collect() if any(c.isalnum() for c in r.text or "")}
-    assert {(a, a + 1000000000) for a in words} <= {(r.doc_a, r.doc_b) for r in spotsigs.similar_pairs(again).collect()}
+    own = {r.doc_id: r.class_id for r in spotsigs.similar_classes(again).collect()}
+    assert all(own[a] == own[a + 1000000000] for a in words)

@@ -2,24 +2,26 @@
 
 A spot is an anchor (a very common word) with the chain of the next ``CHAIN`` content words.
 Anchors stand all over natural prose and rarely in menus and adverts, so the set of a page's
-spots says what its body says. Two documents match if the Jaccard similarity of their sets is
-at least ``threshold``. The groups are the connected components of all matching pairs, found
-exactly in two rounds:
-
-1. Documents with a common pair of min-hash values are compared with the one of least id among them.
-   That is cheap, and joins nearly all that belongs together, equal sets in any case.
-2. What is left is searched in full, but only between groups of the first round. Sets are
-   put in one order, rare spots first (by the counts of all spots hashed into a table of
-   fixed size, so that boilerplate comes last; any order would do). Two sets that match
-   share at least l spots among the first n - ceil(threshold * n) + l of either, so only
-   those are shuffled, with l growing with n. Within a spot's list documents are ordered by
-   set length, and each meets only the stretch whose length allows the threshold; bitmaps
-   bound the overlap from above; pairs that share fewer than l spots of the lists are
-   dropped; the rest is compared in full.
-
-Every matching pair lies within a group, so the pairs themselves, with their Jaccard values, come from a third
-step: the sets of each group are brought together once and all of its pairs are compared. Groups of more than
-``BLOCK`` documents are split into blocks, and each two blocks meet in a task of their own.
+spots says what its body says. Documents of equal sets are one class. Two classes match if the
+Jaccard similarity of their sets is at least ``threshold``. Groups are the connected components
+of all matching pairs, found exactly:
+
+1. Classes with a common pair of min-hash values are compared with the one of least id among them.
+   That is cheap, and joins nearly all that belongs together.
+2. What is left is searched in full, but only between groups of the first round. Sets are put in
+   one order, rare spots first (by the counts of all spots hashed into a table; any order would
+   do). Two sets that match share at least l spots among the first n - ceil(threshold * n) + l
+   of either, so only those are shuffled, with l growing with n. Sets are partitioned by length
+   so that one can only match sets of its own partition and the next; lists are kept by
+   (partition, spot), and sets near the upper end of a partition are guests in the next one's.
+   Within a list classes are ordered by set length, and each meets only the stretch whose
+   length allows the threshold. Bitmaps and the places of the shared spot bound the overlap from
+   above; pairs whose shared listed spots, with all that may follow the last of them, don't reach
+   the threshold are dropped; the rest is compared in full. Lists longer than ``LIST`` are set
+   aside and met in blocks, each two blocks in a task of their own.
+3. Every matching pair lies within a group. The sets of each group are brought together once and
+   all of its pairs are compared, which gives each class its number of links. Groups of more than
+   ``BLOCK`` classes are split into blocks like the lists.
 """
 
 from __future__ import annotations
@@ -29,7 +31,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.window import Window
 
 from .arrays import U64, as_array, buffers, distinct, mix, row_sums, slices, words
 from .components import components
@@ -50,20 +51,23 @@ STOP = {
 CHAIN = 2
 THRESHOLD = 0.6
 MIN_SPOTS = 4
-#: Codes that stand for the whole word sequence of a document with fewer spots; two such sets are equal or have nothing in common.
-COPY = 3
 #: Pairs of min-hash values a document in the first round.
 TABLES = 8
 #: A further spot of the lists has to be shared for every so many of a set.
-SHARE = 8
-CELLS = 1 << 16
-BITMAP = 128
+SHARE = 16
+#: Table of spot counts, from which the common order is made.
+CELLS = 1 << 17
+BITMAP = 64
+#: A length partition spans a factor of threshold ** -STEPS.
+STEPS = 4
+#: Rows of a list that are met in one task; longer lists are split into blocks of half as many.
+LIST = 4000
 #: Documents of a group that are compared at once; larger groups are split.
 BLOCK = 2000
 #: Rows of whole groups that a worker gathers before it compares them.
 GATHER = 2000
-#: Bits of the filter that keeps documents that no pair names out of a join; its size is fixed.
-FILTER = 1 << 23
+#: Most bits of the filter that keeps documents that no pair names out of a join (16 MB); beyond it the join does without.
+FILTER = 1 << 27
 
 
 def _hashes(lists: dict[str, str]) -> np.ndarray:
@@ -115,36 +119,36 @@ def _unpack(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return codes.reshape(-1).view("<u8"), bounds // 6
 
 
-def sequence_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, bounds): ``COPY`` codes of 48 bits for each text's sequence of words; none for a text without words."""
+def sequence_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(two hashes of each text's sequence of words (n, 2), its number of words)."""
     out, sizes = [], []
     for a, b in slices(texts):
         w = words(texts.slice(a, b - a))
         place = np.arange(len(w.hash), dtype=np.int64) - w.first[:-1][w.doc]
         keyed = mix(w.hash + mix(place.astype(U64)))
-        some = np.diff(w.first) > 0
-        codes = np.stack([mix(row_sums(mix(keyed + U64(k)), w.first)) >> U64(16) for k in range(COPY)], 1)
-        codes.sort(1)
-        out.append(codes[some].ravel())
-        sizes.append(some * COPY)
-    flat = np.concatenate(out) if out else np.zeros(0, U64)
-    return flat, np.concatenate(([0], np.cumsum(np.concatenate(sizes)))).astype(np.int64) if sizes else np.zeros(1, np.int64)
+        out.append(np.stack([mix(row_sums(mix(keyed + U64(k)), w.first)) for k in (1, 2)], 1))
+        sizes.append(np.diff(w.first))
+    return (np.concatenate(out), np.concatenate(sizes)) if out else (np.zeros((0, 2), U64), np.zeros(0, np.int64))
 
 
 def _sign(chain: int, least: int, copies: bool):
+    """(id, h1, h2, spots): the set and two hashes of it; for texts of fewer spots no set, and hashes of their words in order."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = as_array(batch.column(1))
             codes, bounds = spots(texts, chain)
             size = np.diff(bounds)
-            keep = np.flatnonzero(size >= least)
-            codes = codes[np.repeat(size >= least, size)]
-            if copies:
-                few = np.flatnonzero(size < least)
-                whole, ends = sequence_codes(texts.take(pa.array(few)))
-                few = few[np.diff(ends) > 0]
-                keep, codes, size[few] = np.concatenate((keep, few)), np.concatenate((codes, whole)), COPY
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), _pack(codes, np.concatenate(([0], np.cumsum(size[keep]))))], ["id", "spots"])
+            code_hash = np.stack([row_sums(mix(codes + U64(k << 50)), bounds) for k in (1, 2)], 1).astype(U64)
+            some = size >= least
+            few = np.flatnonzero(~some)
+            whole, count = sequence_hashes(texts.take(pa.array(few)))
+            code_hash[few] = whole
+            keep = np.flatnonzero(some | np.isin(np.arange(len(size)), few[count > 0]) if copies else some)
+            codes, kept = codes[np.repeat(some, size)], np.where(some, size, 0)[keep]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(keep)), *(pa.array(code_hash[keep, k].view(np.int64)) for k in range(2)), _pack(codes, np.concatenate(([0], np.cumsum(kept))))], ["id", "h1", "h2", "spots"]
+            )
 
     return run
 
@@ -167,27 +171,32 @@ def _minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.concat_arrays([batch.column(0)] * TABLES)], ["key", "id"])
 
 
-def _slot(ids: np.ndarray) -> np.ndarray:
-    return (mix(ids.view(U64)) % U64(FILTER)).astype(np.int64)
+def _slot(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(ids.view(U64)) % U64(bits)).astype(np.int64)
 
 
-def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The filter of a partition's ids, as the words of 64 bits that aren't zero."""
-    seen = np.zeros(FILTER, bool)
-    for batch in batches:
-        seen[_slot(batch.column(0).to_numpy())] = True
-    packed = np.packbits(seen).view(np.int64)
-    used = np.flatnonzero(packed)
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(packed[used])], ["word", "bits"])
+def _bits(bits: int):
+    """The filter of a batch's ids, as the words of 64 bits that aren't zero."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = np.unique(_slot(batch.column(0).to_numpy(), bits))
+            word = slot >> 6
+            first = np.flatnonzero(np.diff(word, prepend=-1))
+            merged = np.bitwise_or.reduceat(U64(1) << (slot & 63).astype(U64), first) if len(slot) else np.zeros(0, U64)
+            yield pa.RecordBatch.from_arrays([pa.array(word[first]), pa.array(merged.view(np.int64))], ["word", "bits"])
 
+    return run
 
-def _named(filter_, wanted: bool):
+
+def _named(filter_, bits: int, wanted: bool):
     """Rows whose first column the filter may (or surely doesn't) name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.unpackbits(np.frombuffer(filter_.value, np.uint8)).view(bool)
+        words_ = np.frombuffer(filter_.value, U64)
         for batch in batches:
-            yield batch.filter(pa.array(seen[_slot(batch.column(0).to_numpy())] == wanted))
+            slot = _slot(batch.column(0).to_numpy(), bits)
+            yield batch.filter(pa.array(((words_[slot >> 6] >> (slot & 63).astype(U64) & U64(1)) == 1) == wanted))
 
     return run
 
@@ -202,32 +211,43 @@ def least_shared(n: np.ndarray) -> np.ndarray:
     return 1 + n // SHARE
 
 
-def _lists(counts, threshold: float):
-    """A row for each listed spot: (spot, set length, id, label, bitmap of the whole set in two numbers)."""
+def length_part(n: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(length partition of sets of n spots, whether they can match sets of the next one)."""
+    ratio = max(threshold**-STEPS, 1.01)
+    part = np.floor(np.log(np.maximum(n, 1)) / np.log(ratio) + 1e-9).astype(np.int64)
+    # A little too many guests do no harm.
+    return part, n / threshold >= ratio ** (part + 1.0) * (1 - 1e-6)
+
+
+def _lists(order_, threshold: float):
+    """A row for each listed spot: (key, set length and place of the spot in the set, id, label, bitmap of the whole set).
+
+    The key is the length partition and the spot.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell_counts = np.frombuffer(counts.value, np.int64)
-        order = np.empty(CELLS, np.int64)
-        order[np.argsort(cell_counts, kind="stable")] = np.arange(CELLS)
+        order = np.frombuffer(order_.value, np.int32)
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
-                codes, bounds = _unpack(part.column(2))
+                rows = batch.slice(a, 512)
+                codes, bounds = _unpack(rows.column(2))
                 n = np.diff(bounds)
                 doc = np.repeat(np.arange(len(n)), n)
                 bits = np.zeros((len(n), BITMAP), bool)
                 bits[doc, (mix(codes) % U64(BITMAP)).astype(np.int64)] = True
-                bitmap = np.packbits(bits, axis=1).view(np.int64)
+                bitmap = np.packbits(bits, axis=1).view(np.int64)[:, 0]
                 # Rank in the common order: cell, then code (codes are sorted within a set, and the sort is stable).
                 rank = np.argsort(doc << 32 | order[(codes % U64(CELLS)).astype(np.int64)], kind="stable")
                 place = np.arange(len(codes)) - np.repeat(bounds[:-1], n)
                 chosen = place < np.repeat(list_length(n, threshold), n)
-                codes, doc = codes[rank][chosen], doc[chosen]
+                codes, doc, place = codes[rank][chosen], doc[chosen], place[chosen]
+                part, guest = length_part(n, threshold)
+                key, at = codes.astype(np.int64) | part[doc] << 48, np.arange(len(doc))
+                again = np.flatnonzero(guest[doc])
+                key, at = np.concatenate((key, key[again] + (1 << 48))), np.concatenate((at, again))
+                doc, place = doc[at], place[at]
                 take = pa.array(doc)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(codes.astype(np.int64)), pa.array(n[doc].astype(np.int32)), part.column(0).take(take), part.column(1).take(take), pa.array(bitmap[doc, 0]), pa.array(bitmap[doc, 1])],
-                    ["spot", "n", "id", "label", "b0", "b1"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n[doc] << 32 | place), rows.column(0).take(take), rows.column(1).take(take), pa.array(bitmap[doc])], ["key", "place", "id", "label", "bitmap"])
 
     return run
 
@@ -235,23 +255,28 @@ def _lists(counts, threshold: float):
 def _possible(n: np.ndarray, bitmap: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
     """Whether lengths and bitmaps allow rows a and b to match."""
     x, y = bitmap.view(U64)[a], bitmap.view(U64)[b]  # bits of signed numbers would be counted in their absolute value
-    only_a = np.bitwise_count(x & ~y).sum(1, dtype=np.int64)
-    only_b = np.bitwise_count(y & ~x).sum(1, dtype=np.int64)
+    only_a = np.bitwise_count(x & ~y).astype(np.int64)
+    only_b = np.bitwise_count(y & ~x).astype(np.int64)
     most = np.minimum(n[a] - only_a, n[b] - only_b)
     return most >= threshold * (n[a] + n[b] - most) - 1e-9
 
 
-def run_pairs(n: np.ndarray, label: np.ndarray, bitmap: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (a, b) of one list, ordered by set length, that may match and have different labels."""
-    none = np.zeros(0, np.int64)
-    values, place, count = np.unique(label, return_inverse=True, return_counts=True)
+def needed_overlap(n: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
+    return np.ceil(threshold / (1 + threshold) * (n + m) - 1e-9).astype(np.int64)
+
+
+def run_pairs(n: np.ndarray, place: np.ndarray, label: np.ndarray, bitmap: np.ndarray, native: np.ndarray, block: np.ndarray | None, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (a, b) of one list, ordered by set length, that may match and have different labels, some at a time.
+
+    Two guests don't meet, as they do so in their own partition; with blocks only rows of different ones do.
+    """
+    values, at, count = np.unique(label, return_inverse=True, return_counts=True)
     if len(values) == 1:
-        return none, none
+        return
     # Pairs within the commonest label never have to be looked at: every pair has a row of another label.
-    minor = np.flatnonzero(place != count.argmax())
+    is_minor = at != count.argmax()
+    minor = np.flatnonzero(is_minor)
     low, high = np.searchsorted(n, np.ceil(n[minor] * threshold - 1e-9), "left"), np.searchsorted(n, np.floor(n[minor] / threshold + 1e-9), "right")
-    is_minor = place != count.argmax()
-    out_a, out_b = [none], [none]
     span = high - low
     ends = np.cumsum(span)
     first = 0
@@ -260,66 +285,117 @@ def run_pairs(n: np.ndarray, label: np.ndarray, bitmap: np.ndarray, threshold: f
         size = span[first:last]
         a = np.repeat(minor[first:last], size)
         b = np.arange(len(a)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low[first:last], size)
-        ok = (label[a] != label[b]) & (~is_minor[b] | (a < b))
+        ok = (label[a] != label[b]) & (~is_minor[b] | (a < b)) & (native[a] | native[b])
+        if block is not None:
+            ok &= block[a] != block[b]
         a, b = a[ok], b[ok]
-        ok = _possible(n, bitmap, a, b, threshold)
-        out_a.append(a[ok])
-        out_b.append(b[ok])
+        ok = (np.minimum(place[a], place[b]) + 1 + np.minimum(n[a] - place[a], n[b] - place[b]) - 1 >= needed_overlap(n[a], n[b], threshold)) & _possible(n, bitmap, a, b, threshold)
+        yield a[ok], b[ok]
         first = last
-    return np.concatenate(out_a), np.concatenate(out_b)
 
 
-def _counted(n: np.ndarray, ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    """(a, b, shared, needed): pairs of ids, how often they came here, and how often they must come in all."""
-    pair = np.stack((np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])), 1)
-    pair, first, shared = np.unique(pair, axis=0, return_index=True, return_counts=True) if len(a) else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    needed = np.minimum(least_shared(n[a[first]]), least_shared(n[b[first]]))
-    return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(shared.astype(np.int64)), pa.array(needed.astype(np.int64))], ["a", "b", "shared", "needed"])
+_MET = "a bigint, b bigint, shared bigint, rest_a bigint, rest_b bigint, least bigint, overlap bigint, kind int"
+
+
+def _counted(n: np.ndarray, place: np.ndarray, ids: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> pa.RecordBatch:
+    """Pairs of ids (a < b): spots shared here, spots of either after the last of them, how many must be shared in the lists and in all."""
+    turned = ids[a] > ids[b]
+    a, b = np.where(turned, b, a), np.where(turned, a, b)
+    order = np.lexsort((ids[b], ids[a]))
+    a, b = a[order], b[order]
+    first = np.flatnonzero(np.concatenate(([True], (ids[a][1:] != ids[a][:-1]) | (ids[b][1:] != ids[b][:-1])))) if len(a) else np.zeros(0, np.int64)
+    shared = np.diff(np.append(first, len(a)))
+    rest = [np.minimum.reduceat(n[x] - 1 - place[x], first) if len(a) else first for x in (a, b)]
+    a, b = a[first], b[first]
+    columns = [ids[a], ids[b], shared, *rest, np.minimum(least_shared(n[a]), least_shared(n[b])), needed_overlap(n[a], n[b], threshold)]
+    return pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int64)) for c in columns), pa.array(np.zeros(len(a), np.int32))], [x.split()[0] for x in _MET.split(", ")])
 
 
-def _meet(threshold: float):
-    """Pairs that meet in the lists, which come sorted by spot and set length."""
+def _meet(threshold: float, limit: int | None):
+    """What meets in the lists, which come sorted by key and set length: rows of ``_counted`` (kind 0).
 
-    def lists(n, ids, label, bitmap, bound) -> pa.RecordBatch:
+    Rows of lists longer than ``limit`` come back as they are (kind 1). Without a limit rows have three more columns,
+    their block and the two blocks (x, y) that meet in the list, and the list's key is all of (key, x, y).
+    """
+
+    def lists(key, n, place, ids, label, bitmap, block, cross, bound) -> Iterator[pa.RecordBatch]:
         """All lists between the bounds; lists of two, the most common, at once."""
+        native = length_part(n, threshold)[0] == key >> 48
         size = np.diff(bound)
-        two = bound[:-1][size == 2]
-        two = two[(label[two] != label[two + 1]) & (n[two] >= np.ceil(n[two + 1] * threshold - 1e-9))]
-        two = two[_possible(n, bitmap, two, two + 1, threshold)]
-        found = [(two, two + 1)]
+        a = bound[:-1][size == 2]
+        b = a + 1
+        ok = (label[a] != label[b]) & (n[a] >= np.ceil(n[b] * threshold - 1e-9)) & (native[a] | native[b])
+        if block is not None:
+            ok &= ~cross[a] | (block[a] != block[b])
+        a, b = a[ok], b[ok]
+        ok = (np.minimum(place[a], place[b]) + np.minimum(n[a] - place[a], n[b] - place[b]) >= needed_overlap(n[a], n[b], threshold)) & _possible(n, bitmap, a, b, threshold)
+        found, many = [(a[ok], b[ok])], 0
         for first, last in zip(bound[:-1][size > 2].tolist(), bound[1:][size > 2].tolist()):
-            a, b = run_pairs(n[first:last], label[first:last], bitmap[first:last], threshold)
-            if len(a):
-                found.append((a + first, b + first))
-        return _counted(n, ids, *(np.concatenate(x) for x in zip(*found)))
+            own = slice(first, last)
+            for a, b in run_pairs(n[own], place[own], label[own], bitmap[own], native[own], block[own] if block is not None and cross[first] else None, threshold):
+                if len(a):
+                    found.append((a + first, b + first))
+                    many += len(a)
+                if many > 1 << 19:
+                    yield _counted(n, place, ids, *(np.concatenate(x) for x in zip(*found)), threshold)
+                    found, many = [], 0
+        if found:
+            yield _counted(n, place, ids, *(np.concatenate(x) for x in zip(*found)), threshold)
+
+    def met(columns: list[np.ndarray], bound: np.ndarray) -> Iterator[pa.RecordBatch]:
+        key, both, ids, label, bitmap = columns[:5]
+        block, cross = (columns[5], columns[6] != columns[7]) if limit is None else (None, None)
+        yield from lists(key, both >> 32, both & 0xFFFFFFFF, ids, label, bitmap, block, cross, bound)
+
+    def aside(columns: list[np.ndarray]) -> pa.RecordBatch:
+        n = len(columns[0])
+        return pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), *[pa.array(np.zeros(n, np.int64))] * 2, pa.array(np.ones(n, np.int32))], [x.split()[0] for x in _MET.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        now, held, rows, long = None, [], 0, False
 
-        def flush() -> pa.RecordBatch:
-            n, ids, label, bitmap = (np.concatenate(x) for x in zip(*held))
-            return lists(n, ids, label, bitmap, np.array([0, len(n)]))
+        def finish() -> Iterator[pa.RecordBatch]:
+            if held and long:
+                yield aside([np.concatenate(x) for x in zip(*held)])
+            elif held:
+                yield from met([np.concatenate(x) for x in zip(*held)], np.array([0, rows]))
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            spot = batch.column(0).to_numpy()
-            columns = [batch.column(1).to_numpy().astype(np.int64), batch.column(2).to_numpy(), batch.column(3).to_numpy(), np.stack([batch.column(k).to_numpy() for k in (4, 5)], 1)]
-            bound = np.flatnonzero(np.concatenate(([True], spot[1:] != spot[:-1], [True])))
-            head = int(bound[1]) if held and spot[0] == now else 0
-            if head:
-                held.append([c[:head] for c in columns])
-                if len(bound) == 2:
+            columns = [c.to_numpy() for c in batch.columns]
+            parts = columns[:1] if limit is not None else [columns[0], *columns[6:8]]
+            new = np.zeros(batch.num_rows + 1, bool)
+            new[[0, -1]] = True
+            for c in parts:
+                new[1:-1] |= c[1:] != c[:-1]
+            bound = np.flatnonzero(new)
+            if now is not None:
+                head = int(bound[1]) if [c[0] for c in parts] == now else 0
+                if head:
+                    held.append([c[:head] for c in columns])
+                    rows += head
+                    long = limit is not None and rows > limit
+                    bound = bound[1:]
+                if head < batch.num_rows:
+                    yield from finish()
+                elif long:  # a long list is not held
+                    yield from finish()
+                    held = []
+                if head == batch.num_rows:
                     continue
-            if held:
-                yield flush()
+            size = np.diff(bound)
             # The last list may go on in the next batch.
-            inner = bound[1:-1] if head else bound[:-1]
-            if len(inner) > 1:
-                yield lists(*columns, inner)
-            now, held = spot[-1], [[c[bound[-2] :].copy() for c in columns]]
-        if held:
-            yield flush()
+            at = 0
+            for k in [*(np.flatnonzero(size[:-1] > limit).tolist() if limit is not None else []), len(size) - 1]:
+                if k > at:
+                    yield from met([c[bound[at] : bound[k]] for c in columns], bound[at : k + 1] - bound[at])
+                if k < len(size) - 1:
+                    yield aside([c[bound[k] : bound[k + 1]] for c in columns])
+                at = k + 1
+            now, held, rows = [c[-1] for c in parts], [[c[bound[-2] :].copy() for c in columns]], int(size[-1])
+            long = limit is not None and rows > limit
+        yield from finish()
 
     return run
 
@@ -375,8 +451,11 @@ def _similar(threshold: float, cell: np.ndarray, block: np.ndarray, split: np.nd
     return order[np.concatenate(out_a)], order[np.concatenate(out_b)], np.concatenate(out_j)
 
 
-def _within(threshold: float, gather: int):
-    """All matching pairs of each group; rows (root, x, y, block, id, spots) come sorted by cell (root, x, y)."""
+def _within(threshold: float, gather: int, links: bool):
+    """The matching pairs of each group (a, b, jaccard, root), or with ``links`` each class's number of them and its nearest (id, links, nearest, root).
+
+    Rows (root, x, y, block, id, spots) come sorted by cell (root, x, y).
+    """
 
     def pairs(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         whole = pa.Table.from_batches(rows).combine_chunks()
@@ -384,13 +463,14 @@ def _within(threshold: float, gather: int):
         codes, bounds = _unpack(whole.column(5))
         new = (root[1:] != root[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
         a, b, jaccard = _similar(threshold, np.concatenate(([0], np.cumsum(new))), block, x != y, ids, codes, bounds)
-        low, high, root = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b]), root[a]
-        # Rows that share a doc_id are in one block, so their pairs are all here; the nearest one counts.
-        rank = np.lexsort((-jaccard, high, low))
-        low, high, root, jaccard = low[rank], high[rank], root[rank], jaccard[rank]
-        first = np.ones(len(low), bool)
-        first[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
-        return pa.RecordBatch.from_arrays([pa.array(low[first]), pa.array(high[first]), pa.array(np.round(jaccard[first], 6)), pa.array(root[first])], ["doc_a", "doc_b", "jaccard", "duplicate_of"])
+        if not links:
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[a], ids[b])), pa.array(np.maximum(ids[a], ids[b])), pa.array(np.round(jaccard, 6)), pa.array(root[a])], ["a", "b", "jaccard", "root"])
+        count = np.bincount(a, minlength=len(ids)) + np.bincount(b, minlength=len(ids))
+        nearest = np.zeros(len(ids))
+        for end in (a, b):
+            np.maximum.at(nearest, end, jaccard)
+        some = np.flatnonzero(count)
+        return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(count[some]), pa.array(np.round(nearest[some], 6)), pa.array(root[some])], ["id", "links", "nearest", "root"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
@@ -420,20 +500,29 @@ class _Search:
     def __init__(self, spark: SparkSession, scratch: Scratch, threshold: float):
         self.spark, self.scratch, self.threshold = spark, scratch, threshold
 
-    def named(self, rows: DataFrame, ids: DataFrame, wanted: bool = True) -> DataFrame:
-        """The rows that may (or surely don't) have one of the ids; a filter of fixed size, so some others pass too."""
-        merged = np.zeros(FILTER // 64, np.int64)
-        for r in map_arrow(ids, _bits, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).collect():
-            merged[r.word] = r.bits
-        return map_arrow(rows, _named(self.spark.sparkContext.broadcast(merged.tobytes()), wanted), rows.schema)
-
-    def matching(self, pairs: DataFrame, signed: DataFrame, name: str) -> DataFrame:
+    def split(self, rows: DataFrame, ids: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+        """(the rows that surely don't have one of the ids in their first column, those that may).
+
+        That is read off a filter of 16 to 32 bits an id; where it would have more than FILTER bits all rows may.
+        """
+        bits = 1 << max(10, (16 * ids.count()).bit_length())
+        if bits > FILTER:
+            return None, rows
+        merged = np.zeros(bits // 64, U64)
+        got = map_arrow(ids, _bits(bits), "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+        merged[got["word"].to_numpy()] = got["bits"].to_numpy().view(U64)
+        filter_ = self.spark.sparkContext.broadcast(merged.tobytes())
+        return map_arrow(rows, _named(filter_, bits, False), rows.schema), map_arrow(rows, _named(filter_, bits, True), rows.schema)
+
+    def matching(self, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) whose sets match; only sets that a pair names are shuffled."""
         pairs = self.scratch.save(pairs, f"{name}-pairs")
-        some = self.named(signed, pairs.select(F.explode(F.array("a", "b")).alias("id")))
+        _, some = self.split(sets, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
         left, right = some.select(F.col("id").alias("a"), F.col("spots").alias("sa")), some.select(F.col("id").alias("b"), F.col("spots").alias("sb"))
         found = map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb"), _verify(self.threshold), "a bigint, b bigint")
-        return self.scratch.save(found, name)
+        found = self.scratch.save(found, name)
+        self.scratch.drop(f"{name}-pairs")
+        return found
 
 
 def _check(threshold: float, min_spots: int) -> None:
@@ -441,35 +530,102 @@ def _check(threshold: float, min_spots: int) -> None:
         raise ValueError("threshold must lie in (0, 1], min_spots be positive")
 
 
-def _signed(docs: DataFrame, scratch: Scratch, chain: int, min_spots: int, copies: bool) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null and text is not null")
-    return scratch.save(map_arrow(rows, _sign(chain, min_spots, copies), "id bigint, spots binary"), "signed")
-
+def _classes(docs: DataFrame, search: _Search, chain: int, min_spots: int, copies: bool) -> tuple[DataFrame, DataFrame]:
+    """(members, sets): the class of each document (id, class, copies), and each class's set (id, spots), if it has one.
 
-def _groups(search: _Search, signed: DataFrame) -> DataFrame:
-    """(id, root) of the groups of matching documents, but for the roots."""
+    A class goes by its least doc_id, or by a negative hash where that doc_id has several texts.
+    """
+    scratch = search.scratch
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null and text is not null")
+    signed = scratch.save(map_arrow(rows, _sign(chain, min_spots, copies), "id bigint, h1 bigint, h2 bigint, spots binary"), "signed")
+    # Ids that come more than once, usually none.
+    again = scratch.save(signed.groupBy("id").agg(F.count("*").alias("k"), (F.min("h1") != F.max("h1")).alias("several")).where("k > 1").select(F.col("id").alias("again"), "several"), "again")
+    repeated = not again.isEmpty()
+    members = signed.select("id", "h1", "h2")
+    if repeated:
+        members = members.distinct()
+    classes = members.groupBy("h1", "h2").agg(F.min("id").alias("root"), F.count("*").alias("copies")).withColumnsRenamed({"h1": "g1", "h2": "g2"})
+    own = F.col("root")
+    if repeated:
+        classes = classes.join(again, F.col("root") == F.col("again"), "left")
+        own = F.when(F.coalesce("several", F.lit(False)), -1 - F.shiftrightunsigned("g1", 1)).otherwise(F.col("root"))
+    classes = classes.select("g1", "g2", "root", "copies", own.alias("class"))
+    # A class of one has nothing to be joined: its only member is its root.
+    members = scratch.save(members.join(classes, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).select("id", "class", "root", "copies", "h1", "h2"), "members")
+    # The row of its least doc_id stands for each class; most rows surely do, and need no join.
+    doubtful = members.where("id <> class").select("id")
+    if repeated:
+        doubtful = doubtful.union(again.select("again"))
+    lone, other = search.split(signed, doubtful.distinct())
+    first = members.where("id = root").select(F.col("id").alias("root"), F.col("h1").alias("g1"), F.col("h2").alias("g2"), "class")
+    sets = other.join(first, (F.col("id") == F.col("root")) & (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).select(F.col("class").alias("id"), "spots")
+    if repeated:
+        sets = sets.dropDuplicates(["id"])
+    if lone is not None:
+        sets = sets.union(lone.select("id", "spots"))
+    sets = scratch.save(sets.where("length(spots) > 0"), "sets")
+    scratch.drop("signed", "again")
+    return members, sets
+
+
+def _groups(search: _Search, members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(class, root): the classes of every group of more than one; root is the least class."""
     spark, scratch, threshold = search.spark, search.scratch, search.threshold
     # First round: everyone with the least id under each pair of min-hash values.
-    minima = map_arrow(signed, _minima, "key bigint, id bigint")
-    stars = minima.withColumn("least", F.min("id").over(Window.partitionBy("key"))).where("id > least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-    first = search.matching(stars, signed, "first")
-    labels = scratch.save(components(first, scratch, "labels").select(F.col("id").alias("member"), F.col("root").alias("label")), "label-table")
+    minima = map_arrow(sets, _minima, "key bigint, id bigint")
+    least = minima.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("k")).where("k > 1").select(F.col("key").alias("shared"), "least")
+    stars = minima.join(least, F.col("key") == F.col("shared")).where("id > least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
+    found = search.matching(stars, sets, "first")
+    labels = scratch.save(components(found, scratch, "labels").select(F.col("id").alias("member"), F.col("root").alias("label")), "label-table")
     # Second round: all that may match across the groups so far.
     counts = np.zeros(CELLS, np.int64)
-    for r in map_arrow(signed.select("spots"), _tally, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-        counts[r.cell] = r.n
-    member = labels.select(F.col("member").alias("id"))
-    alone = search.named(signed, member, False).select("id", F.col("id").alias("label"), "spots")
-    joined = search.named(signed, member).join(labels, F.col("id") == F.col("member"), "left").select("id", F.coalesce("label", "id").alias("label"), "spots")
-    listed = map_arrow(alone.union(joined), _lists(spark.sparkContext.broadcast(counts.tobytes()), threshold), "spot bigint, n int, id bigint, label bigint, b0 bigint, b1 bigint")
-    met = map_arrow(listed.repartition("spot").sortWithinPartitions("spot", "n"), _meet(threshold), "a bigint, b bigint, shared bigint, needed bigint")
-    pairs = met.where("a <> b").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("needed").alias("needed")).where("shared >= needed").select("a", "b")
-    second = search.matching(pairs, signed, "second")
-    groups = components(first.union(second), scratch, "groups")
-    scratch.drop("first-pairs", "second-pairs")
+    got = map_arrow(sets.select("spots"), _tally, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts[got["cell"].to_numpy()] = got["n"].to_numpy()
+    order = np.empty(CELLS, np.int32)
+    order[np.argsort(counts, kind="stable")] = np.arange(CELLS)
+    alone, joined = search.split(sets, labels.select("member"))
+    labelled = joined.join(labels, F.col("id") == F.col("member"), "left").select("id", F.coalesce("label", "id").alias("label"), "spots")
+    if alone is not None:
+        labelled = labelled.union(alone.select("id", F.col("id").alias("label"), "spots"))
+    listed = map_arrow(labelled, _lists(spark.sparkContext.broadcast(order.tobytes()), threshold), "key bigint, place bigint, id bigint, label bigint, bitmap bigint")
+    met = scratch.save(map_arrow(listed.repartition("key").sortWithinPartitions("key", "place"), _meet(threshold, LIST), _MET), "met")
+    pairs, long = met.where("kind = 0"), met.where("kind = 1")
+    if not long.isEmpty():
+        rows = long.select(*(F.col(c).alias(n) for c, n in zip(("a", "b", "shared", "rest_a", "rest_b"), ("key", "place", "id", "label", "bitmap"))))
+        size = rows.groupBy("key").agg(F.ceil(F.count("*") / (LIST / 2)).cast("bigint").alias("k")).withColumnRenamed("key", "list")
+        cells = rows.join(size, F.col("key") == F.col("list")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("k"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1)))
+        cells = cells.select("key", "place", "id", "label", "bitmap", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+        pairs = pairs.union(map_arrow(cells.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "place"), _meet(threshold, None), _MET))
+    pairs = pairs.groupBy("a", "b").agg(*(f(c).alias(c) for f, c in ((F.sum, "shared"), (F.min, "rest_a"), (F.min, "rest_b"), (F.min, "least"), (F.min, "overlap"))))
+    pairs = pairs.where((F.col("shared") >= F.col("least")) & (F.col("shared") + F.least("rest_a", "rest_b") >= F.col("overlap"))).select("a", "b")
+    edges = found.union(search.matching(pairs, sets, "second"))
+    # The texts of one document belong together.
+    several = members.groupBy("id").agg(F.min("class").alias("a"), F.max("class").alias("z")).where("a <> z").select(F.col("id").alias("several"), "a")
+    edges = edges.union(members.join(several, F.col("id") == F.col("several")).select("a", F.col("class").alias("b")))
+    groups = components(edges, scratch, "groups")
+    groups = scratch.save(groups.select(F.col("id").alias("class"), "root").union(groups.select(F.col("root").alias("class"), "root").distinct()), "grouped")
+    scratch.drop("met", "first", "second", "label-table")
     return groups
 
 
+def _compared(search: _Search, groups: DataFrame, sets: DataFrame, links: bool) -> DataFrame:
+    """What ``_within`` finds in the groups."""
+    k = groups.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("bigint").alias("k")).withColumnRenamed("root", "of")
+    placed = groups.join(k, F.col("root") == F.col("of")).select("class", "root", "k")
+    _, some = search.split(sets, groups.select("class"))
+    rows = some.join(placed, F.col("id") == F.col("class")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("k"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1)))
+    cells = rows.select("root", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "spots")
+    schema = "id bigint, links bigint, nearest double, root bigint" if links else "a bigint, b bigint, jaccard double, root bigint"
+    return map_arrow(cells.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y"), _within(search.threshold, GATHER, links), schema)
+
+
+def _least_ids(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """(member, of): the least doc_id of the group of each class in ``groups``."""
+    roots = members.where("id = root").join(groups.withColumnRenamed("root", "group").withColumnRenamed("class", "member"), F.col("class") == F.col("member")).select("member", "group", "root")
+    least = roots.groupBy("group").agg(F.min("root").alias("of")).withColumnRenamed("group", "own")
+    return roots.join(least, F.col("group") == F.col("own")).select("member", "of").distinct()
+
+
 def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, chain: int = CHAIN, min_spots: int = MIN_SPOTS) -> DataFrame:
     """(doc_id, duplicate_of) for each document with a matching one of smaller doc_id in its group.
 
@@ -478,34 +634,46 @@ def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, chain: int
     Defined results: rows whose doc_id is null, whose text is null, or whose set has fewer than ``min_spots`` spots
     (as empty and very short texts) are left out. Rows that share a doc_id are one document; if their texts differ,
     it matches what any of them matches. Texts of any length are read whole. An empty table gives no rows. Other
-    columns are ignored.
+    columns are ignored. doc_id must be a number.
     """
     _check(threshold, min_spots)
-    scratch = Scratch(docs.sparkSession)
-    groups = _groups(_Search(docs.sparkSession, scratch, threshold), _signed(docs, scratch, chain, min_spots, False))
-    scratch.drop("signed")
-    return groups.select(F.col("id").alias("doc_id"), F.col("root").alias("duplicate_of"))
+    search = _Search(docs.sparkSession, Scratch(docs.sparkSession), threshold)
+    members, sets = _classes(docs, search, chain, min_spots, False)
+    least = _least_ids(members, _groups(search, members, sets))
+    return members.join(least, F.col("class") == F.col("member"), "left").select(F.col("id").alias("doc_id"), F.coalesce("of", "root").alias("duplicate_of")).where("doc_id <> duplicate_of").distinct()
 
 
 def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD, chain: int = CHAIN, min_spots: int = MIN_SPOTS) -> DataFrame:
-    """(doc_a, doc_b, jaccard, duplicate_of), doc_a < doc_b: every matching pair, with the least doc_id of its group.
+    """(class_a, class_b, jaccard): every matching pair of classes, class_a < class_b; ``similar_classes`` has their members."""
+    _check(threshold, min_spots)
+    search = _Search(docs.sparkSession, Scratch(docs.sparkSession), threshold)
+    members, sets = _classes(docs, search, chain, min_spots, True)
+    return _compared(search, _groups(search, members, sets), sets, False).select(F.col("a").alias("class_a"), F.col("b").alias("class_b"), "jaccard")
+
+
+def similar_classes(docs: DataFrame, threshold: float = THRESHOLD, chain: int = CHAIN, min_spots: int = MIN_SPOTS) -> DataFrame:
+    """(doc_id, class_id, copies, links, nearest, duplicate_of) for each document with a copy or a matching one.
+
+    Documents of equal sets are one class, named by its least doc_id (by a negative number where that doc_id has several
+    texts); ``copies`` is its number of documents, ``links`` the number of other classes that match it, all counted,
+    ``nearest`` the largest Jaccard value among them (null without any), ``duplicate_of`` the least doc_id of the group,
+    a connected component of matches.
 
-    The groups and the defined results are those of ``similar_documents``, but documents with fewer than ``min_spots``
-    spots, too few to tell texts apart, match (with Jaccard 1) if their sequences of words are equal; only texts without
-    words are left out. Of rows that share a doc_id the nearest counts.
+    Defined results: rows whose doc_id or text is null, and texts without words, are left out. Documents with fewer than
+    ``min_spots`` spots, too few to tell texts apart, are a class with those of the same sequence of words, and match no
+    other. Rows that share a doc_id and a set are one document; if their texts differ there is a row for each class, and
+    the classes are one group. Texts of any length are read whole. An empty table gives no rows. Other columns are
+    ignored. doc_id must be a number.
     """
     _check(threshold, min_spots)
-    scratch = Scratch(docs.sparkSession)
-    search = _Search(docs.sparkSession, scratch, threshold)
-    signed = _signed(docs, scratch, chain, min_spots, True)
-    groups = _groups(search, signed)
-    members = groups.select("id", "root").union(groups.select(F.col("root").alias("id"), "root").distinct())
-    members = scratch.save(members.withColumn("k", F.ceil(F.count("*").over(Window.partitionBy("root")) / BLOCK).cast("bigint")).withColumnRenamed("id", "member"), "members")
-    sets = search.named(signed, members.select(F.col("member").alias("id"))).join(members, F.col("id") == F.col("member"))
-    sets = sets.withColumn("block", F.pmod(F.xxhash64("id"), F.col("k"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1)))
-    cells = sets.select("root", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "spots")
-    return map_arrow(cells.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y"), _within(threshold, GATHER), "doc_a bigint, doc_b bigint, jaccard double, duplicate_of bigint")
+    search = _Search(docs.sparkSession, Scratch(docs.sparkSession), threshold)
+    members, sets = _classes(docs, search, chain, min_spots, True)
+    groups = _groups(search, members, sets)
+    counted = _compared(search, groups, sets, True).groupBy("id").agg(F.sum("links").alias("links"), F.max("nearest").alias("nearest")).withColumnRenamed("id", "linked")
+    known = _least_ids(members, groups).join(counted, F.col("member") == F.col("linked"), "left").select("member", "of", "links", "nearest")
+    found = members.join(known, F.col("class") == F.col("member"), "left").where("copies > 1 or member is not null")
+    return found.select(F.col("id").alias("doc_id"), F.col("class").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"), "nearest", F.coalesce("of", "root").alias("duplicate_of"))
 
 
 def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_pairs(table(spark, sf_dir, "documents"))
+    return similar_classes(table(spark, sf_dir, "documents"))
