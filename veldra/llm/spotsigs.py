@@ -33,7 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .arrays import U64, as_array, buffers, distinct, mix, row_sums, slices, words
+from .classes import fold, grouped, least_ids, linked, split
 from .components import components
+from .lists import in_blocks, streamed
 from .scratch import Scratch, map_arrow, table
 
 ANCHORS = {
@@ -66,8 +68,6 @@ LIST = 4000
 BLOCK = 2000
 #: Rows of whole groups that a worker gathers before it compares them.
 GATHER = 2000
-#: Most bits of the filter that keeps documents that no pair names out of a join (16 MB); beyond it the join does without.
-FILTER = 1 << 27
 
 
 def _hashes(lists: dict[str, str]) -> np.ndarray:
@@ -171,36 +171,6 @@ def _minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.concat_arrays([batch.column(0)] * TABLES)], ["key", "id"])
 
 
-def _slot(ids: np.ndarray, bits: int) -> np.ndarray:
-    return (mix(ids.view(U64)) % U64(bits)).astype(np.int64)
-
-
-def _bits(bits: int):
-    """The filter of a batch's ids, as the words of 64 bits that aren't zero."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slot = np.unique(_slot(batch.column(0).to_numpy(), bits))
-            word = slot >> 6
-            first = np.flatnonzero(np.diff(word, prepend=-1))
-            merged = np.bitwise_or.reduceat(U64(1) << (slot & 63).astype(U64), first) if len(slot) else np.zeros(0, U64)
-            yield pa.RecordBatch.from_arrays([pa.array(word[first]), pa.array(merged.view(np.int64))], ["word", "bits"])
-
-    return run
-
-
-def _named(filter_, bits: int, wanted: bool):
-    """Rows whose first column the filter may (or surely doesn't) name."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_ = np.frombuffer(filter_.value, U64)
-        for batch in batches:
-            slot = _slot(batch.column(0).to_numpy(), bits)
-            yield batch.filter(pa.array(((words_[slot >> 6] >> (slot & 63).astype(U64) & U64(1)) == 1) == wanted))
-
-    return run
-
-
 def list_length(n: np.ndarray, threshold: float) -> np.ndarray:
     """How many spots of a set of n are listed."""
     return np.minimum(n, n - np.ceil(threshold * n - 1e-9) + least_shared(n)).astype(np.int64)
@@ -314,8 +284,7 @@ def _counted(n: np.ndarray, place: np.ndarray, ids: np.ndarray, a: np.ndarray, b
 def _meet(threshold: float, limit: int | None):
     """What meets in the lists, which come sorted by key and set length: rows of ``_counted`` (kind 0).
 
-    Rows of lists longer than ``limit`` come back as they are (kind 1). Without a limit rows have three more columns,
-    their block and the two blocks (x, y) that meet in the list, and the list's key is all of (key, x, y).
+    Rows of lists longer than ``limit`` come back as they are (kind 1). Without a limit the lists are those of ``in_blocks``.
     """
 
     def lists(key, n, place, ids, label, bitmap, block, cross, bound) -> Iterator[pa.RecordBatch]:
@@ -342,60 +311,18 @@ def _meet(threshold: float, limit: int | None):
         if found:
             yield _counted(n, place, ids, *(np.concatenate(x) for x in zip(*found)), threshold)
 
-    def met(columns: list[np.ndarray], bound: np.ndarray) -> Iterator[pa.RecordBatch]:
-        key, both, ids, label, bitmap = columns[:5]
-        block, cross = (columns[5], columns[6] != columns[7]) if limit is None else (None, None)
-        yield from lists(key, both >> 32, both & 0xFFFFFFFF, ids, label, bitmap, block, cross, bound)
-
-    def aside(columns: list[np.ndarray]) -> pa.RecordBatch:
-        n = len(columns[0])
-        return pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), *[pa.array(np.zeros(n, np.int64))] * 2, pa.array(np.ones(n, np.int32))], [x.split()[0] for x in _MET.split(", ")])
+    names = [x.split()[0] for x in _MET.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, rows, long = None, [], 0, False
-
-        def finish() -> Iterator[pa.RecordBatch]:
-            if held and long:
-                yield aside([np.concatenate(x) for x in zip(*held)])
-            elif held:
-                yield from met([np.concatenate(x) for x in zip(*held)], np.array([0, rows]))
-
-        for batch in batches:
-            if not batch.num_rows:
+        for columns, bound in streamed(batches, 1 if limit is not None else 3, limit):
+            if bound is None:
+                zero = pa.array(np.zeros(len(columns[0]), np.int64))
+                yield pa.RecordBatch.from_arrays([*columns, zero, zero, pa.array(np.ones(len(columns[0]), np.int32))], names)
                 continue
-            columns = [c.to_numpy() for c in batch.columns]
-            parts = columns[:1] if limit is not None else [columns[0], *columns[6:8]]
-            new = np.zeros(batch.num_rows + 1, bool)
-            new[[0, -1]] = True
-            for c in parts:
-                new[1:-1] |= c[1:] != c[:-1]
-            bound = np.flatnonzero(new)
-            if now is not None:
-                head = int(bound[1]) if [c[0] for c in parts] == now else 0
-                if head:
-                    held.append([c[:head] for c in columns])
-                    rows += head
-                    long = limit is not None and rows > limit
-                    bound = bound[1:]
-                if head < batch.num_rows:
-                    yield from finish()
-                elif long:  # a long list is not held
-                    yield from finish()
-                    held = []
-                if head == batch.num_rows:
-                    continue
-            size = np.diff(bound)
-            # The last list may go on in the next batch.
-            at = 0
-            for k in [*(np.flatnonzero(size[:-1] > limit).tolist() if limit is not None else []), len(size) - 1]:
-                if k > at:
-                    yield from met([c[bound[at] : bound[k]] for c in columns], bound[at : k + 1] - bound[at])
-                if k < len(size) - 1:
-                    yield aside([c[bound[k] : bound[k + 1]] for c in columns])
-                at = k + 1
-            now, held, rows = [c[-1] for c in parts], [[c[bound[-2] :].copy() for c in columns]], int(size[-1])
-            long = limit is not None and rows > limit
-        yield from finish()
+            key, *rest = (c.to_numpy() for c in columns)
+            (x, y, block), rest = (rest[:3], rest[3:]) if limit is None else ((None, None, None), rest)
+            both, ids, label, bitmap = rest
+            yield from lists(key, both >> 32, both & 0xFFFFFFFF, ids, label, bitmap, block, None if x is None else x != y, bound)
 
     return run
 
@@ -451,6 +378,9 @@ def _similar(threshold: float, cell: np.ndarray, block: np.ndarray, split: np.nd
     return order[np.concatenate(out_a)], order[np.concatenate(out_b)], np.concatenate(out_j)
 
 
+_CELL = ["root", "x", "y", "block", "id", "spots"]
+
+
 def _within(threshold: float, gather: int, links: bool):
     """The matching pairs of each group (a, b, jaccard, root), or with ``links`` each class's number of them and its nearest (id, links, nearest, root).
 
@@ -474,22 +404,13 @@ def _within(threshold: float, gather: int, links: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
-        last = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = np.stack([batch.column(k).to_numpy() for k in range(3)], 1)
-            cuts = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
-            if last is not None and (key[0] != last).any():
-                cuts = np.concatenate(([0], cuts))
-            last, done = key[-1], 0
-            for cut in cuts.tolist():
-                if count + cut - done >= gather:
-                    held.append(batch.slice(done, cut - done))
+        for columns, bound in streamed(batches, 3, None):
+            for first, last in zip(bound[:-1].tolist(), bound[1:].tolist()):
+                if count and count + last - first > gather:
                     yield pairs(held)
-                    held, count, done = [], 0, cut
-            held.append(batch.slice(done))
-            count += batch.num_rows - done
+                    held, count = [], 0
+                held.append(pa.RecordBatch.from_arrays([c.slice(first, last - first) for c in columns], _CELL))
+                count += last - first
         if count:
             yield pairs(held)
 
@@ -500,24 +421,10 @@ class _Search:
     def __init__(self, spark: SparkSession, scratch: Scratch, threshold: float):
         self.spark, self.scratch, self.threshold = spark, scratch, threshold
 
-    def split(self, rows: DataFrame, ids: DataFrame) -> tuple[DataFrame | None, DataFrame]:
-        """(the rows that surely don't have one of the ids in their first column, those that may).
-
-        That is read off a filter of 16 to 32 bits an id; where it would have more than FILTER bits all rows may.
-        """
-        bits = 1 << max(10, (16 * ids.count()).bit_length())
-        if bits > FILTER:
-            return None, rows
-        merged = np.zeros(bits // 64, U64)
-        got = map_arrow(ids, _bits(bits), "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-        merged[got["word"].to_numpy()] = got["bits"].to_numpy().view(U64)
-        filter_ = self.spark.sparkContext.broadcast(merged.tobytes())
-        return map_arrow(rows, _named(filter_, bits, False), rows.schema), map_arrow(rows, _named(filter_, bits, True), rows.schema)
-
     def matching(self, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) whose sets match; only sets that a pair names are shuffled."""
         pairs = self.scratch.save(pairs, f"{name}-pairs")
-        _, some = self.split(sets, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        _, some = split(sets, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
         left, right = some.select(F.col("id").alias("a"), F.col("spots").alias("sa")), some.select(F.col("id").alias("b"), F.col("spots").alias("sb"))
         found = map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb"), _verify(self.threshold), "a bigint, b bigint")
         found = self.scratch.save(found, name)
@@ -533,38 +440,14 @@ def _check(threshold: float, min_spots: int) -> None:
 def _classes(docs: DataFrame, search: _Search, chain: int, min_spots: int, copies: bool) -> tuple[DataFrame, DataFrame]:
     """(members, sets): the class of each document (id, class, copies), and each class's set (id, spots), if it has one.
 
-    A class goes by its least doc_id, or by a negative hash where that doc_id has several texts.
+    What names a class is told in ``fold``.
     """
     scratch = search.scratch
     rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null and text is not null")
     signed = scratch.save(map_arrow(rows, _sign(chain, min_spots, copies), "id bigint, h1 bigint, h2 bigint, spots binary"), "signed")
-    # Ids that come more than once, usually none.
-    again = scratch.save(signed.groupBy("id").agg(F.count("*").alias("k"), (F.min("h1") != F.max("h1")).alias("several")).where("k > 1").select(F.col("id").alias("again"), "several"), "again")
-    repeated = not again.isEmpty()
-    members = signed.select("id", "h1", "h2")
-    if repeated:
-        members = members.distinct()
-    classes = members.groupBy("h1", "h2").agg(F.min("id").alias("root"), F.count("*").alias("copies")).withColumnsRenamed({"h1": "g1", "h2": "g2"})
-    own = F.col("root")
-    if repeated:
-        classes = classes.join(again, F.col("root") == F.col("again"), "left")
-        own = F.when(F.coalesce("several", F.lit(False)), -1 - F.shiftrightunsigned("g1", 1)).otherwise(F.col("root"))
-    classes = classes.select("g1", "g2", "root", "copies", own.alias("class"))
-    # A class of one has nothing to be joined: its only member is its root.
-    members = scratch.save(members.join(classes, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).select("id", "class", "root", "copies", "h1", "h2"), "members")
-    # The row of its least doc_id stands for each class; most rows surely do, and need no join.
-    doubtful = members.where("id <> class").select("id")
-    if repeated:
-        doubtful = doubtful.union(again.select("again"))
-    lone, other = search.split(signed, doubtful.distinct())
-    first = members.where("id = root").select(F.col("id").alias("root"), F.col("h1").alias("g1"), F.col("h2").alias("g2"), "class")
-    sets = other.join(first, (F.col("id") == F.col("root")) & (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).select(F.col("class").alias("id"), "spots")
-    if repeated:
-        sets = sets.dropDuplicates(["id"])
-    if lone is not None:
-        sets = sets.union(lone.select("id", "spots"))
+    members, sets = fold(signed, "spots", scratch)
     sets = scratch.save(sets.where("length(spots) > 0"), "sets")
-    scratch.drop("signed", "again")
+    scratch.drop("signed")
     return members, sets
 
 
@@ -583,7 +466,7 @@ def _groups(search: _Search, members: DataFrame, sets: DataFrame) -> DataFrame:
     counts[got["cell"].to_numpy()] = got["n"].to_numpy()
     order = np.empty(CELLS, np.int32)
     order[np.argsort(counts, kind="stable")] = np.arange(CELLS)
-    alone, joined = search.split(sets, labels.select("member"))
+    alone, joined = split(sets, labels.select("member"))
     labelled = joined.join(labels, F.col("id") == F.col("member"), "left").select("id", F.coalesce("label", "id").alias("label"), "spots")
     if alone is not None:
         labelled = labelled.union(alone.select("id", F.col("id").alias("label"), "spots"))
@@ -592,38 +475,20 @@ def _groups(search: _Search, members: DataFrame, sets: DataFrame) -> DataFrame:
     pairs, long = met.where("kind = 0"), met.where("kind = 1")
     if not long.isEmpty():
         rows = long.select(*(F.col(c).alias(n) for c, n in zip(("a", "b", "shared", "rest_a", "rest_b"), ("key", "place", "id", "label", "bitmap"))))
-        size = rows.groupBy("key").agg(F.ceil(F.count("*") / (LIST / 2)).cast("bigint").alias("k")).withColumnRenamed("key", "list")
-        cells = rows.join(size, F.col("key") == F.col("list")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("k"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1)))
-        cells = cells.select("key", "place", "id", "label", "bitmap", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-        pairs = pairs.union(map_arrow(cells.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "place"), _meet(threshold, None), _MET))
+        pairs = pairs.union(map_arrow(in_blocks(rows, "key", "id", LIST // 2, "place"), _meet(threshold, None), _MET))
     pairs = pairs.groupBy("a", "b").agg(*(f(c).alias(c) for f, c in ((F.sum, "shared"), (F.min, "rest_a"), (F.min, "rest_b"), (F.min, "least"), (F.min, "overlap"))))
     pairs = pairs.where((F.col("shared") >= F.col("least")) & (F.col("shared") + F.least("rest_a", "rest_b") >= F.col("overlap"))).select("a", "b")
-    edges = found.union(search.matching(pairs, sets, "second"))
-    # The texts of one document belong together.
-    several = members.groupBy("id").agg(F.min("class").alias("a"), F.max("class").alias("z")).where("a <> z").select(F.col("id").alias("several"), "a")
-    edges = edges.union(members.join(several, F.col("id") == F.col("several")).select("a", F.col("class").alias("b")))
-    groups = components(edges, scratch, "groups")
-    groups = scratch.save(groups.select(F.col("id").alias("class"), "root").union(groups.select(F.col("root").alias("class"), "root").distinct()), "grouped")
+    groups = grouped(found.union(search.matching(pairs, sets, "second")), members, scratch)
     scratch.drop("met", "first", "second", "label-table")
     return groups
 
 
 def _compared(search: _Search, groups: DataFrame, sets: DataFrame, links: bool) -> DataFrame:
     """What ``_within`` finds in the groups."""
-    k = groups.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("bigint").alias("k")).withColumnRenamed("root", "of")
-    placed = groups.join(k, F.col("root") == F.col("of")).select("class", "root", "k")
-    _, some = search.split(sets, groups.select("class"))
-    rows = some.join(placed, F.col("id") == F.col("class")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("k"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1)))
-    cells = rows.select("root", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "spots")
+    _, some = split(sets, groups.select("class"))
+    rows = some.join(groups, F.col("id") == F.col("class")).select("root", "id", "spots")
     schema = "id bigint, links bigint, nearest double, root bigint" if links else "a bigint, b bigint, jaccard double, root bigint"
-    return map_arrow(cells.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y"), _within(search.threshold, GATHER, links), schema)
-
-
-def _least_ids(members: DataFrame, groups: DataFrame) -> DataFrame:
-    """(member, of): the least doc_id of the group of each class in ``groups``."""
-    roots = members.where("id = root").join(groups.withColumnRenamed("root", "group").withColumnRenamed("class", "member"), F.col("class") == F.col("member")).select("member", "group", "root")
-    least = roots.groupBy("group").agg(F.min("root").alias("of")).withColumnRenamed("group", "own")
-    return roots.join(least, F.col("group") == F.col("own")).select("member", "of").distinct()
+    return map_arrow(in_blocks(rows, "root", "id", BLOCK), _within(search.threshold, GATHER, links), schema)
 
 
 def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, chain: int = CHAIN, min_spots: int = MIN_SPOTS) -> DataFrame:
@@ -639,7 +504,7 @@ def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, chain: int
     _check(threshold, min_spots)
     search = _Search(docs.sparkSession, Scratch(docs.sparkSession), threshold)
     members, sets = _classes(docs, search, chain, min_spots, False)
-    least = _least_ids(members, _groups(search, members, sets))
+    least = least_ids(members, _groups(search, members, sets))
     return members.join(least, F.col("class") == F.col("member"), "left").select(F.col("id").alias("doc_id"), F.coalesce("of", "root").alias("duplicate_of")).where("doc_id <> duplicate_of").distinct()
 
 
@@ -669,10 +534,8 @@ def similar_classes(docs: DataFrame, threshold: float = THRESHOLD, chain: int =
     search = _Search(docs.sparkSession, Scratch(docs.sparkSession), threshold)
     members, sets = _classes(docs, search, chain, min_spots, True)
     groups = _groups(search, members, sets)
-    counted = _compared(search, groups, sets, True).groupBy("id").agg(F.sum("links").alias("links"), F.max("nearest").alias("nearest")).withColumnRenamed("id", "linked")
-    known = _least_ids(members, groups).join(counted, F.col("member") == F.col("linked"), "left").select("member", "of", "links", "nearest")
-    found = members.join(known, F.col("class") == F.col("member"), "left").where("copies > 1 or member is not null")
-    return found.select(F.col("id").alias("doc_id"), F.col("class").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"), "nearest", F.coalesce("of", "root").alias("duplicate_of"))
+    counted = _compared(search, groups, sets, True).groupBy("id").agg(F.sum("links").alias("links"), F.max("nearest").alias("nearest"))
+    return linked(members, groups, counted, "doc_id")
 
 
 def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
