@@ -2,6 +2,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from veldra.llm import language
 from veldra.llm.queries import QUERIES
@@ -91,3 +92,24 @@ def test_agrees_with_declared_language(spark, sf):
     big = got[got.grams >= language.MIN_GRAMS]
     assert (big.declared == big.predicted).mean() > 0.98
     assert got.accepted.mean() > 0.98
+
+
+def test_sample_is_that_of_the_least_hashes(spark, monkeypatch):
+    rows = [(k, "en" if k % 3 else "de", str(k)) for k in range(3000)] + [(5, "en", "5"), (None, "en", "none"), (9000, None, "no language")]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    got = sorted((r.lang, r.text) for r in language._sampled(docs, 50).collect())
+    die = {r.doc_id: r.die for r in docs.selectExpr("doc_id", "pmod(xxhash64(doc_id), 1099511627776) AS die").collect()}
+    want = []
+    for lang in ("de", "en"):
+        ids = sorted({r[0] for r in rows if r[1] == lang and r[0] is not None}, key=die.get)[:50]
+        want += [(lang, r[2]) for r in rows if r[1] == lang and r[0] in ids]
+    assert got == sorted(want)
+    monkeypatch.setattr(language, "MAX_LANGS", 1)
+    with pytest.raises(ValueError):
+        language.identify(docs)
+
+
+def test_filter_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "en", EN, 1, 2, 3)], SCHEMA + ", `a.b` int, c0 int, `x y` int")
+    kept = language.keep_identified(docs)
+    assert kept.columns == docs.columns and kept.collect() == docs.collect()

@@ -24,6 +24,8 @@ MAX_N = 3
 PROFILE = 400
 #: Documents a language whose n-grams make its profile: those of the least hashed doc_id.
 SAMPLE = 2000
+#: Declared languages that there may be; what is broadcast and collected is a few hundred rows for each.
+MAX_LANGS = 1000
 #: A document is rejected only if it has as many distinct n-grams; shorter ones say too little.
 MIN_GRAMS = 60
 MAX_DISTANCE = 0.80
@@ -112,17 +114,37 @@ def _count_grams(max_n: int):
     return run
 
 
+def _sampled(docs: DataFrame, sample: int) -> DataFrame:
+    """(lang, text) of the ``sample`` documents of least hashed doc_id of each language.
+
+    No language is gathered in one place: a share of its hashes that surely holds the sample is sorted, which gives the
+    hash up to which its documents belong to it.
+    """
+    span = 1 << 40
+    die = F.pmod(F.xxhash64("doc_id"), F.lit(span))
+    rows = docs.select(die.alias("die"), F.col("doc_id").alias("id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("id is not null and lang is not null")
+    # Counts of a language's documents, a row a language.
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("die", 0.02).alias("n")).limit(MAX_LANGS + 1).collect()
+    if len(counts) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} declared languages; fold the small ones first")
+    if not counts:
+        return rows.select("lang", "text").where("false")
+    spark = docs.sparkSession
+    margin = 1.2 * sample + 10 * sample**0.5 + 20
+    bounds = F.broadcast(spark.createDataFrame([(r.lang, int(min(1.0, margin / max(1, r.n)) * span)) for r in counts], "of string, below bigint"))
+    least = rows.select("lang", "die").join(bounds, F.col("lang") == F.col("of")).where("die < below").select("lang", "die").distinct()
+    last = least.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("die"))).where(F.col("k") <= sample).groupBy("lang").agg(F.max("die").alias("last"))
+    ends = F.broadcast(spark.createDataFrame([(r.lang, r["last"]) for r in last.collect()], "of string, last bigint"))
+    return rows.join(ends, F.col("lang") == F.col("of")).where("die <= last").select("lang", "text")
+
+
 def profiles(docs: DataFrame, sample: int = SAMPLE, max_n: int = MAX_N, size: int = PROFILE) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(languages, n-gram hashes sorted, ranks (n-grams, languages) or -1), from the documents' declared languages.
 
-    The result has ``size`` rows a language, so it is small whatever the corpus. ``sample`` bounds the training
+    The result has ``size`` rows a language, and there may be at most MAX_LANGS. ``sample`` bounds the training
     documents a language.
     """
-    rows = docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("lang")).where("id is not null and lang is not null")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).select(F.col("id").alias("chosen"), F.col("lang").alias("as"))
-    texts = docs.select(F.col("doc_id").alias("id"), "lang", "text").join(F.broadcast(chosen), (F.col("id") == F.col("chosen")) & (F.col("lang") == F.col("as")), "left_semi")
-    total = map_arrow(texts.select("lang", "text"), _count_grams(max_n), "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    total = map_arrow(_sampled(docs, sample), _count_grams(max_n), "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = total.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")) - 1).where(F.col("rank") < size).select("lang", "gram", "rank").toPandas()
     names = sorted(top["lang"].unique())
     known = np.unique(top["gram"].to_numpy(np.int64))
@@ -140,7 +162,8 @@ def identify(docs: DataFrame, sample: int = SAMPLE, max_n: int = MAX_N, size: in
     Defined results: null, empty and letterless texts have no prediction, distance 1 and are accepted, as nothing
     speaks against them. A null declared language is never contradicted. Equal distances go to the language first
     in the alphabet. Repeated rows give repeated results. Without any declared language nothing is predicted or
-    rejected. Whole texts are read. Other columns are ignored.
+    rejected. Whole texts are read. Other columns are ignored. doc_id must be a number; more than MAX_LANGS declared
+    languages raise ValueError.
     """
     judge = _judge(*profiles(docs, sample, max_n, size), max_n, size, min_grams, max_distance, margin)
     schema = "doc_id bigint, declared string, predicted string, distance double, declared_distance double, grams int, accepted boolean"
