@@ -1,4 +1,5 @@
 import random
+import time
 
 from veldra.llm import licenses
 
@@ -88,3 +89,52 @@ def test_whole_table_by_plain_search(spark, sf):
                 want.add((r.doc_id, at))
                 at = low.find(notice.lower(), at + 1)
     assert want and got == want
+
+
+def plain_scan(notice, text):
+    """Best first by rescanning what is left, as long as anything is."""
+    import regex
+
+    k = len(notice) // licenses.ERROR_SHARE
+    out, parts = [], [(0, len(text))]
+    while parts:
+        first, last = parts.pop()
+        edits = least_edits(notice, text[first:last])
+        if edits > k:
+            continue
+        hit = regex.compile(f"(?b)(?:{regex.escape(notice, literal_spaces=True)}){{e<={edits}}}").search(text, first, last)
+        out.append((hit.start(), hit.end(), sum(hit.fuzzy_counts)))
+        parts += [(first, hit.start()), (hit.end(), last)]
+    return sorted(out)
+
+
+def test_repeated_notices_by_rescanning():
+    rng = random.Random(3)
+    for name in ("mit", "gpl-3.0", "all-rights-reserved"):
+        notice = licenses.lowered(licenses.NOTICES[name])
+        scanner = licenses.Scanner({name: notice})
+        for _ in range(40):
+            text = "".join(edit(rng, notice, rng.choice([0, 0, 1, 1, 2, 3, 5])) + rng.choice(["", "", " ", "x", " and then "]) for _ in range(rng.randrange(1, 7)))
+            assert [h[1:] for h in scanner.scan(text)] == plain_scan(notice, text)
+
+
+def test_time_grows_with_the_text():
+    """1 MB of one notice, exact and with edits, takes seconds, not hours."""
+    mit = licenses.NOTICES["mit"]
+    scanner = licenses.Scanner()
+    for text, edits, limit in ((mit * 35_000, 0, 20), ((mit[:9] + "x" + mit[9:] + " ") * 30_000, 1, 60)):
+        began = time.perf_counter()
+        found = scanner.scan(text)
+        assert time.perf_counter() - began < limit
+        assert len(found) == text.count(mit[-7:]) and {h[3] for h in found} == {edits}
+
+
+def test_overlaps_of_many_hits():
+    rng = random.Random(4)
+    for _ in range(50):
+        hits = [("n", a, a + rng.randrange(1, 12), rng.randrange(4)) for a in (rng.randrange(80) for _ in range(30))]
+        kept = []
+        for hit in sorted(hits, key=lambda x: x[3]):
+            if not any(x[3] < hit[3] and x[1] < hit[2] and hit[1] < x[2] for x in kept):
+                kept.append(hit)
+        assert licenses._best(hits) == sorted(kept)

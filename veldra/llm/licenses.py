@@ -3,14 +3,19 @@
 A notice of m characters may occur with up to k = m // ERROR_SHARE insertions, deletions and
 substitutions. It is cut into k + 1 seeds, of which one must occur exactly (pigeonhole). All
 seeds of all notices are found in one Aho-Corasick pass over the whole text; around each hit a
-window of the notice's length and k more characters on either side is measured by Myers'
-bit-parallel method; where the notice occurs, the regex library's bounded-error matching
-verifies it and reports the span and the number of edits.
+window of the notice's length and k more characters on either side is measured once by Myers'
+bit-parallel method, which gives the fewest edits of a match that ends at each place. The places
+are taken best first; at each the regex library's bounded-error matching verifies the notice in a
+stretch of its length and reports the span and the number of edits. The time grows with the
+length of the text, however often notices occur.
 """
 
 from __future__ import annotations
 
+import bisect
+import heapq
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -51,34 +56,71 @@ class Notice:
             self._places[c] = self._places.get(c, 0) | 1 << i
         self._patterns: dict[int, object] = {}
 
-    def least(self, text: str, first: int, last: int) -> int:
-        """Fewest edits between the notice and any part of text[first:last], by Myers' bit-parallel method."""
-        up, down, score, best = self._full, 0, len(self.text), len(self.text)
-        for c in text[first:last]:
-            same = self._places.get(c, 0)
-            vertical = same | down
-            horizontal = (((same & up) + up) ^ up) | same
-            plus, minus = down | (self._full & ~(horizontal | up)), up & horizontal
-            if plus & self._top:
-                score += 1
-            elif minus & self._top:
+    def scores(self, text: str, first: int, last: int, most: int) -> list[tuple[int, int]]:
+        """(end, edits) where a part of text[first:last] that ends at ``end`` is the notice with at most ``most`` edits, the fewest, by Myers' bit-parallel method."""
+        full, top, places = self._full, self._top, self._places.get
+        up, down, score, out = full, 0, len(self.text), []
+        for end, c in enumerate(text[first:last], first + 1):
+            same = places(c, 0)
+            horizontal = ((same & up) + up ^ up) | same
+            plus, minus = down | (full & ~(horizontal | up)), up & horizontal
+            if minus & top:
                 score -= 1
-                best = min(best, score)
-            plus, minus = plus << 1, minus << 1
-            up, down = (minus | ~(vertical | plus)) & self._full, plus & vertical & self._full
-        return best
+            elif plus & top:
+                score += 1
+            if score <= most:
+                out.append((end, score))
+            vertical = same | down
+            plus <<= 1
+            up, down = (minus << 1 | ~(vertical | plus)) & full, plus & vertical & full
+        return out
+
+    def least(self, text: str, first: int, last: int) -> int:
+        """Fewest edits between the notice and any part of text[first:last]."""
+        return min((s for _, s in self.scores(text, first, last, len(self.text))), default=len(self.text))
 
-    def best(self, text: str, first: int, last: int) -> tuple[int, int, int] | None:
-        """(start, end, edits) of the best match within text[first:last], the leftmost of those with as few edits."""
+    def _spelled(self, text: str, first: int, last: int, edits: int) -> tuple[int, int, int]:
         import regex
 
-        edits = self.least(text, first, last)
-        if edits > self.edits:
-            return None
         if edits not in self._patterns:
             self._patterns[edits] = regex.compile(f"(?b)(?:{regex.escape(self.text, literal_spaces=True)}){{e<={edits}}}")
         hit = self._patterns[edits].search(text, first, last)
-        return (hit.start(), hit.end(), sum(hit.fuzzy_counts)) if hit else None
+        return hit.start(), hit.end(), sum(hit.fuzzy_counts)
+
+    def _fuzzy(self, text: str, first: int, last: int) -> list[tuple[int, int, int]]:
+        """Matches in text[first:last], none overlapping another: fewest edits first, then leftmost."""
+        size, k = len(self.text), self.edits
+        least = dict(self.scores(text, first, last, k))
+        heap = [(score, end) for end, score in least.items()]
+        heapq.heapify(heap)
+        found: list[tuple[int, int, int]] = []
+        while heap:
+            score, end = heapq.heappop(heap)
+            if least.get(end) != score:
+                continue
+            at = bisect.bisect_left(found, (end,))
+            begin, stop = found[at - 1][1] if at else first, found[at][0] if at < len(found) else last
+            hit = self._spelled(text, max(begin, end - size - score), min(stop, end + score), score)
+            found.insert(at, hit)
+            # What ends within the match, or began in it, is gone; what begins after it is measured again.
+            for place in range(hit[0] + 1, min(stop, hit[1] + size + k) + 1):
+                least.pop(place, None)
+            for place, again in self.scores(text, hit[1], min(stop, hit[1] + size + k), k):
+                least[place] = again
+                heapq.heappush(heap, (again, place))
+        return found
+
+    def matches(self, text: str, first: int, last: int) -> list[tuple[int, int, int]]:
+        """(start, end, edits) of the matches in text[first:last]; exact ones, which are the best, are looked for first."""
+        found, begin = [], first
+        while True:
+            at = text.find(self.text, begin, last)
+            if (at if at >= 0 else last) - begin >= len(self.text) - self.edits and self.edits:
+                found += self._fuzzy(text, begin, at if at >= 0 else last)
+            if at < 0:
+                return found
+            begin = at + len(self.text)
+            found.append((at, begin, 0))
 
 
 class Scanner:
@@ -118,17 +160,29 @@ class Scanner:
                     merged[-1][1] = max(merged[-1][1], span[1])
                 else:
                     merged.append(span)
-            while merged:
-                first, last = merged.pop()
-                if first < last and (hit := self._notices[k].best(text, first, last)):
-                    found.append((self._notices[k].name, *hit))
-                    merged += [[first, hit[0]], [max(hit[1], first + 1), last]]
-        found.sort(key=lambda x: x[3])
-        kept: list[tuple[str, int, int, int]] = []
-        for hit in found:
-            if not any(x[3] < hit[3] and x[1] < hit[2] and hit[1] < x[2] for x in kept):
-                kept.append(hit)
-        return sorted(kept)
+            found += [(self._notices[k].name, *hit) for first, last in merged for hit in self._notices[k].matches(text, first, last)]
+        return _best(found)
+
+
+def _best(found: list[tuple[str, int, int, int]]) -> list[tuple[str, int, int, int]]:
+    """The matches that overlap none of fewer edits that stays."""
+    kept: list[tuple[str, int, int, int]] = []
+    covered: list[tuple[int, int]] = []  # by matches of fewer edits; apart, in order
+    for _, level in groupby(sorted(found, key=lambda x: x[3]), key=lambda x: x[3]):
+        fine = []
+        for hit in level:
+            at = bisect.bisect_left(covered, (hit[2],))
+            if not at or covered[at - 1][1] <= hit[1]:
+                fine.append(hit)
+        kept += fine
+        merged: list[tuple[int, int]] = []
+        for first, last in sorted([*covered, *((x[1], x[2]) for x in fine)]):
+            if merged and first <= merged[-1][1]:
+                merged[-1] = (merged[-1][0], max(merged[-1][1], last))
+            else:
+                merged.append((first, last))
+        covered = merged
+    return sorted(kept)
 
 
 def scan_notices(docs: DataFrame, notices: dict[str, str] | None = None, error_share: int = ERROR_SHARE) -> DataFrame:
@@ -138,7 +192,8 @@ def scan_notices(docs: DataFrame, notices: dict[str, str] | None = None, error_s
     is reported (fewest edits, then leftmost); a match that overlaps one of another notice with fewer edits is not.
 
     Defined results: null and empty texts give no rows; repeated rows give repeated results; a null doc_id stays
-    null. An empty table gives no rows. Other columns are ignored.
+    null. An empty table gives no rows. Other columns are ignored. Texts of any length are read whole, in time that
+    grows with their length, notices repeated or not. doc_id must be a number.
     """
     notices = dict(NOTICES if notices is None else notices)
 
