@@ -119,3 +119,13 @@ def test_edge_cases(spark):
     assert [r.kind for r in empty] == ["codebook"] and not any(empty[0].payload)
     one = huffman.encode_corpus(spark.createDataFrame([(1, "aaa"[:1])], SCHEMA)).where("kind = 'document'").first()
     assert one.n_ids == 1 and len(one.payload) == 1
+
+
+def test_decoded_table(spark, sf, reference):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    docs = docs.union(spark.createDataFrame([(None, "no id"), (-1, None), (-2, ""), (-3, "twice"), (-3, "twice")], SCHEMA))
+    coded = huffman.encode_corpus(docs)
+    got = sorted(((r.doc_id or 0, list(r.ids)) for r in huffman.decode_corpus(coded).collect()))
+    assert got == sorted((r.doc_id or 0, reference.encode_ordinary(r.text or "")) for r in docs.collect())
+    with pytest.raises(ValueError):
+        huffman.decode_corpus(coded.where("kind = 'document'"))

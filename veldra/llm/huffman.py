@@ -258,7 +258,8 @@ def encode_corpus(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str =
 
     Defined results: null and empty texts have no ids and an empty payload. A corpus of one distinct id uses one bit
     an id. Repeated rows are encoded each, a null doc_id stays null. Whole texts are encoded. Other columns are
-    ignored. An empty table gives the codebook only, all zeros.
+    ignored. An empty table gives the codebook only, all zeros. doc_id must be a number. More than 2^max_length
+    different ids in use can't be told apart by codes of that length and raise ValueError.
     """
     spark = docs.sparkSession
     words = read_vocabulary(vocabulary)
@@ -277,5 +278,26 @@ def encode_corpus(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str =
     return coded.select(F.lit("document").alias("kind"), "*").unionByName(head)
 
 
+def decode_corpus(coded: DataFrame, interval: int = INTERVAL) -> DataFrame:
+    """(doc_id, ids): the token ids of the documents of ``encode_corpus``'s result, which must hold its codebook.
+
+    Defined results: rows without ids give an empty list; repeated rows are decoded each; a null doc_id stays null.
+    A table without a codebook, or with several different ones, raises ValueError.
+    """
+    books = coded.where("kind = 'codebook'").select("payload").distinct().limit(2).collect()
+    if len(books) != 1:
+        raise ValueError("one codebook is needed")
+    book = coded.sparkSession.sparkContext.broadcast(bytes(books[0].payload))  # one byte an id of the vocabulary
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = decoding_table(np.frombuffer(book.value, np.uint8))
+        for batch in batches:
+            found = [decode(payload, n, points, decoder, interval) for n, points, payload in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)))]
+            bounds = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([*found, np.zeros(0, np.int64)])))], ["doc_id", "ids"])
+
+    return map_arrow(coded.where("kind = 'document'").select("doc_id", "n_ids", "checkpoints", "payload"), run, "doc_id bigint, ids array<bigint>")
+
+
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))

@@ -28,11 +28,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Writes tables that cut lineage and survive the loss of executors; ``drop`` frees those no longer read."""
+    """Writes tables that cut lineage and survive the loss of executors.
+
+    ``drop`` frees those no longer read, ``sweep`` all that were written since some point; what is left goes when the
+    application ends.
+    """
+
+    #: Folders written by this application, oldest first.
+    roots: list[Scratch] = []
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/veldra-{uuid.uuid4().hex}"
+        fs, path = self._at("")
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        Scratch.roots.append(self)
+
+    def _at(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
     def save(self, df: DataFrame, name: str, codec: str = "lz4") -> DataFrame:
         path = f"{self.root}/{name}"
@@ -41,8 +56,15 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         for name in names:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            fs, path = self._at(name)
+            fs.delete(path, True)
+
+    @classmethod
+    def sweep(cls, since: int) -> None:
+        """Drops the folders made after the first ``since``; nothing may read them any more."""
+        gone, cls.roots[since:] = cls.roots[since:], []
+        for scratch in gone:
+            scratch.drop("")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
