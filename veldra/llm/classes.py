@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .arrays import U64, mix
 from .components import components
-from .scratch import Scratch, map_arrow
+from .scratch import Scratch, filter_rows, map_arrow
 
 #: Most bits of the filter that keeps rows that nothing names out of a join (16 MB); beyond it the join does without.
 FILTER = 1 << 27
@@ -34,31 +35,34 @@ def _bits(bits: int):
     return run
 
 
-def _named(filter_, bits: int, wanted: bool):
-    """Rows whose first column the filter may (or surely doesn't) name."""
+def id_filter(ids: DataFrame) -> Callable[[pa.Array], np.ndarray] | None:
+    """Tells which numbers may be among ``ids`` (false: surely not), off a filter of 16 to 32 bits an id; None if it would have more than FILTER bits."""
+    bits = 1 << max(10, (16 * ids.count()).bit_length())
+    if bits > FILTER:
+        return None
+    merged = np.zeros(bits // 64, U64)
+    got = map_arrow(ids, _bits(bits), "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    merged[got["word"].to_numpy()] = got["bits"].to_numpy().view(U64)
+    words_ = ids.sparkSession.sparkContext.broadcast(merged.tobytes())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = np.frombuffer(filter_.value, U64)
-        for batch in batches:
-            slot = _slot(batch.column(0).to_numpy(), bits)
-            yield batch.filter(pa.array(((words[slot >> 6] >> (slot & 63).astype(U64) & U64(1)) == 1) == wanted))
+    def may_be(column: pa.Array) -> np.ndarray:
+        words = np.frombuffer(words_.value, U64)
+        slot = _slot(pc.fill_null(column.cast(pa.int64()), 0).to_numpy(), bits)
+        return (words[slot >> 6] >> (slot & 63).astype(U64) & U64(1)) == 1
 
-    return run
+    return may_be
 
 
-def split(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame | None, DataFrame]:
-    """(the rows that surely don't have one of the ids in their first column, those that may).
+def split(rows: DataFrame, ids: DataFrame, column: str | None = None) -> tuple[DataFrame | None, DataFrame]:
+    """(the rows that surely don't have one of the ids in the column, the first by default, those that may).
 
-    That is read off a filter of 16 to 32 bits an id; where it would have more than FILTER bits all rows may.
+    Where the ids are too many for a filter all rows may.
     """
-    bits = 1 << max(10, (16 * ids.count()).bit_length())
-    if bits > FILTER:
+    may_be = id_filter(ids)
+    if may_be is None:
         return None, rows
-    merged = np.zeros(bits // 64, U64)
-    got = map_arrow(ids, _bits(bits), "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    merged[got["word"].to_numpy()] = got["bits"].to_numpy().view(U64)
-    filter_ = rows.sparkSession.sparkContext.broadcast(merged.tobytes())
-    return map_arrow(rows, _named(filter_, bits, False), rows.schema), map_arrow(rows, _named(filter_, bits, True), rows.schema)
+    column = column or rows.columns[0]
+    return filter_rows(rows, [column], lambda c: ~may_be(c)), filter_rows(rows, [column], may_be)
 
 
 def fold(signed: DataFrame, payload: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
