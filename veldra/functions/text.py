@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from functools import lru_cache
 
@@ -156,17 +157,47 @@ def stems_udf(texts: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else stems(t) for t in texts], dtype=object)
 
 
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def element_stems_udf(lists: pd.Series) -> pd.Series:
+    """Stems of each text of an array."""
+    return pd.Series([None if texts is None else [None if t is None else stems(t) for t in texts] for texts in lists], dtype=object)
+
+
+def _folding() -> str:
+    """A character class of all beyond ASCII that normalisation or lower case turns into something with ASCII letters or digits.
+
+    Ranges that lie near one another are joined, as each costs time at every character; some that needn't pass do.
+    """
+    runs: list[list[int]] = []
+    for code in range(128, sys.maxunicode + 1):
+        if 0xD800 <= code < 0xE000:
+            continue
+        low = unicodedata.normalize("NFKC", chr(code)).lower()
+        if any(c.isascii() and c.isalnum() for c in low):
+            if runs and code - runs[-1][1] <= (1 if code < 0xC0 else 16 if code < 0x250 else 192) and not runs[-1][1] < 0xC0 <= code:
+                runs[-1][1] = code
+            else:
+                runs.append([code, code])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs) + "]"
+
+
+@lru_cache(maxsize=1)
+def folding() -> str:
+    return _folding()
+
+
 def may_have(text: Column, word_stem: str) -> Column:
     """A cheap JVM test that is true for every text with a word of this stem: sound for all of Porter2's rules.
 
-    But for the listed exceptions a stem shares all but its last letter with the word; texts beyond ASCII, which
-    normalisation may change, always pass.
+    But for the listed exceptions a stem shares all but its last letter with the word; texts with a character that
+    normalisation may turn into ASCII letters always pass.
     """
     sources = [w for w, s in _EXCEPTIONS.items() if s == word_stem]
     probes = {word_stem[: max(1, len(word_stem) - 1)], *(w[:2] for w in sources)}
     if not word_stem.isascii() or len(word_stem) <= 2:
         return F.lit(True)
-    found = F.rlike(text, F.lit(r"[^\x00-\x7F]"))
+    found = None
     for probe in sorted(probes):
-        found = found | F.contains(F.lower(text), F.lit(probe))
-    return found
+        has = F.contains(F.lower(text), F.lit(probe))
+        found = has if found is None else found | has
+    return found | (F.octet_length(text) > F.char_length(text)) & F.rlike(text, F.lit(folding()))

@@ -6,13 +6,14 @@ is empty or missing the body is asked once about a missing value, which only a n
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, functions as F
 
 from ..functions.geo import overlaps
-from ..functions.text import may_have, stems_udf
+from ..functions.text import element_stems_udf, may_have, stems_udf
 from ..plans.nodes import All, And, Array, Bind, Boost, Box, Equal, Field, Node, Not, Or, Range, Words
 from ..sources.values import Missing, Value, true
 from .evaluate import scored_idf
@@ -34,9 +35,11 @@ class Compiled:
 class Compiler:
     #: Weights by (key path, stem); None where no score is asked for.
     idf: dict[tuple[tuple[str, ...], str], np.float32] | None = None
-    #: Token columns to be added to the table before the filter: name -> string column.
+    #: Token columns to be added to the table before the filter, by name.
     tokens: dict[str, Column] = field(default_factory=dict)
     _names: dict[tuple[str, ...], str] = field(default_factory=dict)
+    #: Inside an array clause: the array, how an element is read, its path, and the element's number.
+    _element: tuple[Column, Callable[[Column], Value], tuple[str, ...], Column] | None = None
 
     def run(self, node: Node, v: Value, path: tuple[str, ...] = (), depth: int = 0, boost: float = 1.0) -> Compiled:
         if isinstance(node, Field):
@@ -91,7 +94,12 @@ class Compiler:
         array, make = found
         if _binds_inside(node.body):
             raise NeedsPython
-        some = F.exists(array, lambda e: self.run(node.body, make(e), (*path, "$"), depth + 1, boost).pred)
+        if _words_inside(node.body):
+            if depth:
+                raise NeedsPython
+            some = F.exists(_numbers(array), lambda i: self._at(node, array, make, path, i, boost))
+        else:
+            some = F.exists(array, lambda e: self.run(node.body, make(e), (*path, "$"), depth + 1, boost).pred)
         return Compiled(F.when(true(F.size(array) > 0), true(some)).otherwise(missing))
 
     def _bind(self, node: Bind, v: Value, path: tuple[str, ...], depth: int, boost: float) -> Compiled:
@@ -105,20 +113,47 @@ class Compiler:
         if elements is None:
             return found
         column, make = elements
-        own = F.filter(column, lambda e: self.run(array.body, make(e), (*path, "$"), depth + 1, boost).pred)
+        if _words_inside(array.body):
+            own = F.transform(F.filter(_numbers(column), lambda i: self._at(array, column, make, path, i, boost)), lambda i: F.get(column, i))
+        else:
+            own = F.filter(column, lambda e: self.run(array.body, make(e), (*path, "$"), depth + 1, boost).pred)
         return Compiled(found.pred, found.terms, {node.name: [(own, make)]})
 
+    def _at(self, node: Array, array: Column, make: Callable[[Column], Value], path: tuple[str, ...], i: Column, boost: float) -> Column:
+        """The body of an array clause about element number ``i``; its words are looked up in token columns by that number."""
+        self._element = array, make, (*path, "$"), i
+        found = self.run(node.body, make(F.get(array, i)), (*path, "$"), 1, boost).pred
+        self._element = None
+        return found
+
+    def _element_tokens(self, path: tuple[str, ...]) -> Column:
+        array, make, base, i = self._element
+        if path not in self._names:
+
+            def text(e: Column) -> Column:
+                v = make(e)
+                for step in path[len(base) :]:
+                    v = v.get(step[1:])
+                return v.string()
+
+            self._names[path] = f"__tokens{len(self._names)}"
+            self.tokens[self._names[path]] = element_stems_udf(F.transform(array, text))
+        return F.get(F.col(self._names[path]), i)
+
     def _words(self, node: Words, v: Value, path: tuple[str, ...], depth: int, boost: float) -> Compiled:
         text = v.string()
         nothing = [F.lit(None).cast("float")] * len(node.stems) if self.idf is not None else []
         if text is None:
             return Compiled(F.lit(False), nothing)
-        if depth or node.distance is not None and len(node.stems) > 2:
-            raise NeedsPython
-        if path not in self._names:
-            self._names[path] = f"__tokens{len(self._names)}"
-            self.tokens[self._names[path]] = text
-        tokens = F.col(self._names[path])
+        if depth:
+            if self._element is None or "$" in path[len(self._element[2]) :] or node.distance is not None and len(node.stems) > 2:
+                raise NeedsPython
+            tokens = self._element_tokens(path)
+        else:
+            if path not in self._names:
+                self._names[path] = f"__tokens{len(self._names)}"
+                self.tokens[self._names[path]] = stems_udf(text)
+            tokens = F.col(self._names[path])
         pred = true(phrase_column(tokens, node.stems) if node.distance is None else near_column(tokens, node.stems, node.distance))
         if self.idf is None:
             return Compiled(pred)
@@ -133,6 +168,19 @@ class Compiler:
         return Compiled(pred, [F.when(pred, score), *nothing[1:]])
 
 
+def _numbers(array: Column) -> Column:
+    """The numbers of an array's elements."""
+    return F.when(F.size(array) > 0, F.sequence(F.lit(0), F.size(array) - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def _words_inside(node: Node) -> bool:
+    if isinstance(node, Words):
+        return True
+    if isinstance(node, (And, Or)):
+        return _words_inside(node.left) or _words_inside(node.right)
+    return isinstance(node, (Field, Not, Boost, Array)) and _words_inside(node.body)
+
+
 def _binds_inside(node: Node) -> bool:
     if isinstance(node, Bind):
         return True
@@ -157,7 +205,3 @@ def prefilters(node: Node, v: Value) -> list[Column]:
 def split(node: Node) -> list[Node]:
     """Conjuncts over the document."""
     return split(node.left) + split(node.right) if isinstance(node, And) else [node]
-
-
-def text_column(text: Column) -> Column:
-    return stems_udf(text)

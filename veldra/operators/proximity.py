@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from bisect import bisect_left
+
+import pandas as pd
+from pyspark.sql import Column, functions as F, types as T
 
 
 def has_phrase(found: list[str], words: tuple[str, ...]) -> bool:
@@ -21,11 +24,11 @@ def near(found: list[str], words: tuple[str, ...], distance: int) -> bool:
         return False
     kept = {p: 0 for p in places[0]}
     for k in range(1, len(words)):
-        merged: dict[int, int] = {}
+        order, merged = sorted(kept), {}
         for p in places[k]:
-            close = {q: w for q, w in kept.items() if p - distance - 1 <= q < p + distance + 1}
-            if len(set(close.values())) == k:
-                merged |= close
+            close = order[bisect_left(order, p - distance - 1) : bisect_left(order, p + distance + 1)]
+            if len({kept[q] for q in close}) == k:
+                merged |= {q: kept[q] for q in close}
                 merged[p] = k
         if not merged:
             return False
@@ -44,7 +47,9 @@ def phrase_column(tokens: Column, words: tuple[str, ...]) -> Column:
 
 
 def near_column(tokens: Column, words: tuple[str, ...], distance: int) -> Column:
-    """``near`` of two words as an expression; more words go through Python."""
+    """``near`` as an expression for two words; for more as one Arrow pass over the tokens."""
+    if len(words) > 2:
+        return F.pandas_udf(lambda lists: pd.Series([x is not None and near(list(x), words, distance) for x in lists], dtype=bool), T.BooleanType())(tokens)
     first, second = words
 
     def places(word: str) -> Column:

@@ -91,7 +91,7 @@ class _Run:
             elif not isinstance(part, All):
                 rest.append(part)
         for name, text in compiler.tokens.items():
-            df = df.withColumn(name, stems_udf(text))
+            df = df.withColumn(name, text)
         for part in rest:
             again = Compiler(None, compiler.tokens, compiler._names)
             df = df.where(again.run(part, self.root).pred)
@@ -260,7 +260,7 @@ class _Run:
                 return literal(t.value, variant)
             if isinstance(t, Path):
                 k = place[id(t)]
-                name = f"__r{k}" if f"__r{k}" in results else next(p for p in [parts_by[k]]).key
+                name = f"__r{k}" if f"__r{k}" in results else parts[k_part[k]].key
                 c = F.col(name)
                 return (c.cast("variant") if t.aggregate in text else F.parse_json(c)) if variant else c
             if isinstance(t, Record):
@@ -269,7 +269,7 @@ class _Run:
                 made = F.array(*(column(v) for v in t.items)) if variant else F.struct(*(column(v).alias(f"_{k + 1}") for k, v in enumerate(t.items)))
             return F.to_variant_object(made) if variant else made
 
-        parts_by = {k: p for k, p in zip((place[id(x)] for x in leaves(template) if isinstance(x, Path)), parts)}
+        k_part = {k: n for n, k in enumerate(place.values())}
         null = lambda c: F.coalesce(c, F.parse_json(F.lit("null"))) if variant else c
         return out.select(*(null(column(v)).alias(k) for k, v in self.names(template)))
 

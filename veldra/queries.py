@@ -25,18 +25,25 @@ def _plain(name: str, key: str) -> Callable[[SparkSession, str], Collection]:
     return lambda spark, sf_dir: Collection.typed(_table(spark, sf_dir, name), key)
 
 
-def order_docs(spark: SparkSession, sf_dir: str) -> Collection:
-    """Orders with their lines as ``items``. One shuffle on the order key serves the grouping and the join."""
-    lines = _table(spark, sf_dir, "lineitem")
-    fields = [*_LINE_ORDER, *(c for c in lines.columns if c not in _LINE_ORDER and c != "l_orderkey")]
-    items = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("items"))
-    orders = _table(spark, sf_dir, "orders")
-    return Collection.typed(orders.join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left").drop("l_orderkey"), "o_orderkey")
+def _items(*wanted: str) -> Callable[[SparkSession, str], Collection]:
+    """Orders with their lines as ``items``, of the given fields; one shuffle on the order key serves the grouping and the join.
+
+    The fields that give lines their order are carried through the sort and then left out.
+    """
+
+    def build(spark: SparkSession, sf_dir: str) -> Collection:
+        fields = [*_LINE_ORDER, *(c for c in wanted if c not in _LINE_ORDER)]
+        items = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("items"))
+        items = items.withColumn("items", F.transform("items", lambda e: F.struct(*(e[c].alias(c) for c in wanted))))
+        orders = _table(spark, sf_dir, "orders")
+        return Collection.typed(orders.join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left").drop("l_orderkey"), "o_orderkey")
+
+    return build
 
 
 def customer_docs(spark: SparkSession, sf_dir: str) -> Collection:
     """Customers with their orders, each with its lines."""
-    orders = order_docs(spark, sf_dir).df
+    orders = _items("l_quantity")(spark, sf_dir).df
     held = orders.groupBy("o_custkey").agg(F.collect_list(F.struct("o_orderkey", "o_orderstatus", "items")).alias("orders"))
     return Collection.typed(_table(spark, sf_dir, "customer").join(held, F.col("c_custkey") == F.col("o_custkey"), "left").drop("o_custkey"), "c_custkey")
 
@@ -86,9 +93,8 @@ def _ranked(df: DataFrame) -> DataFrame:
 
 def _add_whole(name: str, source: Callable[[SparkSession, str], Collection], query: str, columns: dict[str, str], sql: str) -> None:
     """A query whose result is an order of its whole table, shown by ``rank``."""
-    _add(name, source, query, columns, sql)
-    ordered = QUERIES[name]
-    QUERIES[name] = lambda spark, sf_dir: _ranked(ordered(spark, sf_dir))
+    QUERIES[name] = lambda spark, sf_dir: _ranked(run(source(spark, sf_dir), query, ordered=True).selectExpr(*(f"{e} AS {c}" for c, e in columns.items())))
+    ORACLES[name] = sql
 
 
 _REGION, _NATION, _PART = _plain("region", "r_regionkey"), _plain("nation", "n_nationkey"), _plain("part", "p_partkey")
@@ -129,14 +135,14 @@ _add("neq_missing", mixed_docs, "find {n: > 10, v: != true}", _ID, "SELECT event
 _add("array_dynamic", mixed_docs, "find {v: [> 50]}", _ID, _M + "6 AND event_id > 50")
 
 # Arrays
-_add("array_any", order_docs, 'find {items: [{l_returnflag: == "R"}]}', _ID, _O + f"EXISTS ({_L} AND l_returnflag = 'R')")
-_add("array_same_elem", order_docs, 'find {items: [{l_returnflag: == "R", l_quantity: > 30}]}', _ID, _O + f"EXISTS ({_L} AND l_returnflag = 'R' AND l_quantity > 30)")
+_add("array_any", _items("l_returnflag"), 'find {items: [{l_returnflag: == "R"}]}', _ID, _O + f"EXISTS ({_L} AND l_returnflag = 'R')")
+_add("array_same_elem", _items("l_returnflag", "l_quantity"), 'find {items: [{l_returnflag: == "R", l_quantity: > 30}]}', _ID, _O + f"EXISTS ({_L} AND l_returnflag = 'R' AND l_quantity > 30)")
 _add(
-    "array_diff_elem", order_docs, 'find {items: [{l_returnflag: == "R"}], items: [{l_quantity: > 30}]}', _ID, _O + f"EXISTS ({_L} AND l_returnflag = 'R') AND EXISTS ({_L} AND l_quantity > 30)"
+    "array_diff_elem", _items("l_returnflag", "l_quantity"), 'find {items: [{l_returnflag: == "R"}], items: [{l_quantity: > 30}]}', _ID, _O + f"EXISTS ({_L} AND l_returnflag = 'R') AND EXISTS ({_L} AND l_quantity > 30)"
 )
-_add("not_array", order_docs, 'find {o_orderstatus: == "F", items: ![{l_returnflag: == "R"}]}', _ID, _O + f"o_orderstatus = 'F' AND NOT EXISTS ({_L} AND l_returnflag = 'R')")
+_add("not_array", _items("l_returnflag"), 'find {o_orderstatus: == "F", items: ![{l_returnflag: == "R"}]}', _ID, _O + f"o_orderstatus = 'F' AND NOT EXISTS ({_L} AND l_returnflag = 'R')")
 _add(
-    "not_elem", order_docs, 'find {o_orderstatus: == "F", items: [!{l_returnflag: == "R"}]}', _ID, _O + f"o_orderstatus = 'F' AND (EXISTS ({_L} AND l_returnflag <> 'R') OR NOT EXISTS ({_L}))"
+    "not_elem", _items("l_returnflag"), 'find {o_orderstatus: == "F", items: [!{l_returnflag: == "R"}]}', _ID, _O + f"o_orderstatus = 'F' AND (EXISTS ({_L} AND l_returnflag <> 'R') OR NOT EXISTS ({_L}))"
 )
 _add(
     "array_nested",
@@ -157,28 +163,28 @@ def _listed(condition: str) -> str:
 
 _add(
     "bind_path",
-    order_docs,
+    _items("l_quantity"),
     "find {items: x::[{l_quantity: > 45}]} return {id: .o_orderkey, q: x.l_quantity}",
     {"id": "id", "q": _LIST.format("q")},
     f"SELECT o_orderkey AS id, {_listed('l_quantity > 45')} AS q FROM orders WHERE EXISTS ({_L} AND l_quantity > 45)",
 )
 _add(
     "bind_elems",
-    order_docs,
+    _items("l_quantity", "l_partkey"),
     "find {items: x::[{l_quantity: > 45}]} return {id: .o_orderkey, x: x}",
     {"id": "id", "n": "CAST(size(x) AS BIGINT)", "p": "array_join(transform(x, e -> CAST(e.l_partkey AS STRING)), ',')"},
     f"SELECT l_orderkey AS id, count(*) AS n, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY {_SORTED}) AS p FROM lineitem WHERE l_quantity > 45 AND l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY l_orderkey",
 )
 _add(
     "bind_two",
-    order_docs,
+    _items("l_quantity"),
     "find {items: x::[{l_quantity: > 45}], items: y::[{l_quantity: < 5}]} return {id: .o_orderkey, q: x.l_quantity, r: y.l_quantity}",
     {"id": "id", "q": _LIST.format("q"), "r": _LIST.format("r")},
     f"SELECT o_orderkey AS id, {_listed('l_quantity > 45')} AS q, {_listed('l_quantity < 5')} AS r FROM orders WHERE EXISTS ({_L} AND l_quantity > 45) AND EXISTS ({_L} AND l_quantity < 5)",
 )
 _add(
     "bind_merge",
-    order_docs,
+    _items("l_quantity"),
     "find {items: x::[{l_quantity: > 45}] || items: x::[{l_quantity: < 5}]} return {id: .o_orderkey, q: x.l_quantity}",
     {"id": "id", "q": _LIST.format("q")},
     f"SELECT o_orderkey AS id, concat_ws(',', {_listed('l_quantity > 45')}, {_listed('l_quantity < 5')}) AS q FROM orders WHERE EXISTS ({_L} AND (l_quantity > 45 OR l_quantity < 5))",
@@ -189,14 +195,14 @@ _add("ret_doc", _NATION, "find {n_regionkey: == 1} return .", {"id": "CAST(doc.n
 _add("ret_path", _CUSTOMER, "find {c_acctbal: > 0} return .c_name", {"name": "c_name"}, "SELECT c_name AS name FROM customer WHERE c_acctbal > 0")
 _add(
     "ret_index",
-    order_docs,
+    _items("l_partkey"),
     "find {o_totalprice: > 1000} return {id: .o_orderkey, p: .items[1].l_partkey default=-1}",
     {"id": "id", "p": "p"},
     f"SELECT o_orderkey AS id, coalesce(p, -1) AS p FROM orders LEFT JOIN (SELECT l_orderkey, list(l_partkey ORDER BY {_SORTED})[2] AS p FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey WHERE o_totalprice > 1000",
 )
 _add(
     "ret_array_all",
-    order_docs,
+    _items("l_quantity"),
     "find {o_totalprice: > 1000} return {id: .o_orderkey, q: .items[].l_quantity}",
     {"id": "id", "q": _LIST.format("q")},
     f"SELECT o_orderkey AS id, {_listed('true')} AS q FROM orders WHERE o_totalprice > 1000",
@@ -216,33 +222,21 @@ _add("ret_default", mixed_docs, "find {n: >= 0} return {id: .n, v: .v default=\"
 
 # Order and limit
 _TOP = "SELECT o_orderkey AS id, o_totalprice AS p FROM orders "
-_add("order_asc", _ORDERS, "find {o_totalprice: > 0} order .o_totalprice return {id: .o_orderkey, p: .o_totalprice} limit 100", {"id": "id", "p": "p"}, _TOP + "WHERE o_totalprice > 0 ORDER BY o_totalprice, o_orderkey DESC LIMIT 100")
-_add("order_desc", _ORDERS, "find {o_totalprice: > 0} order .o_totalprice desc return {id: .o_orderkey, p: .o_totalprice} limit 100", {"id": "id", "p": "p"}, _TOP + "WHERE o_totalprice > 0 ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 100")
-_add(
-    "order_multi", _ORDERS, "find {o_totalprice: > 0} order .o_orderpriority desc, .o_orderstatus asc, .o_totalprice desc return {id: .o_orderkey} limit 200", {"id": "id"}, "SELECT o_orderkey AS id FROM orders WHERE o_totalprice > 0 ORDER BY o_orderpriority DESC, o_orderstatus, o_totalprice DESC, o_orderkey DESC LIMIT 200"
-)
-_add(
-    "order_default",
-    order_docs,
-    "find {o_totalprice: > 0} order .items[6].l_quantity default=1000 asc return {id: .o_orderkey} limit 300",
-    {"id": "id"},
-    f"SELECT o_orderkey AS id FROM orders LEFT JOIN (SELECT l_orderkey, list(l_quantity ORDER BY {_SORTED})[7] AS q FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey WHERE o_totalprice > 0 ORDER BY coalesce(q, 1000), o_orderkey DESC LIMIT 300",
-)
 _add("limit_order", _ORDERS, "find {o_totalprice: > 0} order .o_totalprice desc return {id: .o_orderkey, p: .o_totalprice} limit 25", {"id": "id", "p": "p"}, _TOP + "WHERE o_totalprice > 0 ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 25")
-# The same orders over the whole tables, where the place of every row counts.
+# Orders of whole tables, where the place of every row counts.
 _ALL = "SELECT o_orderkey AS id, {0}row_number() OVER (ORDER BY {1}, o_orderkey DESC) AS rank FROM orders WHERE o_totalprice > 0"
-_add_whole("order_asc_whole", _ORDERS, "find {o_totalprice: > 0} order .o_totalprice return {id: .o_orderkey, p: .o_totalprice}", {"id": "id", "p": "p"}, _ALL.format("o_totalprice AS p, ", "o_totalprice"))
-_add_whole("order_desc_whole", _ORDERS, "find {o_totalprice: > 0} order .o_totalprice desc return {id: .o_orderkey, p: .o_totalprice}", {"id": "id", "p": "p"}, _ALL.format("o_totalprice AS p, ", "o_totalprice DESC"))
+_add_whole("order_asc", _ORDERS, "find {o_totalprice: > 0} order .o_totalprice return {id: .o_orderkey, p: .o_totalprice}", {"id": "id", "p": "p"}, _ALL.format("o_totalprice AS p, ", "o_totalprice"))
+_add_whole("order_desc", _ORDERS, "find {o_totalprice: > 0} order .o_totalprice desc return {id: .o_orderkey, p: .o_totalprice}", {"id": "id", "p": "p"}, _ALL.format("o_totalprice AS p, ", "o_totalprice DESC"))
 _add_whole(
-    "order_multi_whole",
+    "order_multi",
     _ORDERS,
     "find {o_totalprice: > 0} order .o_orderpriority desc, .o_orderstatus asc, .o_totalprice desc return {id: .o_orderkey}",
     {"id": "id"},
     _ALL.format("", "o_orderpriority DESC, o_orderstatus, o_totalprice DESC"),
 )
 _add_whole(
-    "order_default_whole",
-    order_docs,
+    "order_default",
+    _items("l_quantity"),
     "find {o_totalprice: > 0} order .items[6].l_quantity default=1000 asc return {id: .o_orderkey}",
     {"id": "id"},
     f"SELECT o_orderkey AS id, row_number() OVER (ORDER BY coalesce(q, 1000), o_orderkey DESC) AS rank FROM orders LEFT JOIN (SELECT l_orderkey, list(l_quantity ORDER BY {_SORTED})[7] AS q FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey WHERE o_totalprice > 0",
@@ -252,7 +246,7 @@ _add("limit_group", _ORDERS, "find {o_totalprice: > 0} return {p: group(.o_order
 
 # Groups and aggregates
 _add("group_count", _ORDERS, "find {} return {s: group(.o_orderstatus), n: count()}", {"s": "s", "n": "n"}, "SELECT o_orderstatus AS s, count(*) AS n FROM orders GROUP BY 1")
-_add("group_desc", _ORDERS, "find {} return {p: group(.o_orderpriority order=desc), n: count()} limit 2", {"p": "p", "n": "n"}, "SELECT o_orderpriority AS p, count(*) AS n FROM orders GROUP BY 1 ORDER BY 1 DESC LIMIT 2")
+_add_whole("group_desc", _ORDERS, "find {} return {p: group(.o_orderpriority order=desc), n: count()}", {"p": "p", "n": "n"}, "SELECT o_orderpriority AS p, count(*) AS n, row_number() OVER (ORDER BY o_orderpriority DESC) AS rank FROM orders GROUP BY 1")
 _add(
     "group_multi",
     _ORDERS,
@@ -276,7 +270,7 @@ _JOINED = "FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_
 for _fun, _sql in (("sum", "coalesce(sum(l_quantity), 0)"), ("avg", "avg(l_quantity)"), ("min_array", "min(l_quantity)"), ("max_array", "max(l_quantity)")):
     _add(
         f"agg_{_fun}" if "array" in _fun else f"agg_{_fun}_array",
-        order_docs,
+        _items("l_quantity"),
         f"find {{}} return {{s: group(.o_orderstatus), v: {_fun}(.items[].l_quantity)}}",
         {"s": "s", "v": "round(v, 4)"},
         f"SELECT o_orderstatus AS s, round({_sql}, 4) AS v {_JOINED}",
@@ -289,29 +283,22 @@ _add(
 )
 _add(
     "agg_array_flat",
-    order_docs,
+    _items("l_quantity"),
     "find {o_totalprice: > 0} return {c: group(.o_custkey), q: array_flat(.items[].l_quantity)}",
-    {"c": "c", "n": "CAST(size(filter(q, x -> x IS NOT NULL)) AS BIGINT)", "s": "coalesce(aggregate(filter(q, x -> x IS NOT NULL), 0D, (a, x) -> a + x), 0D)"},
-    "SELECT o_custkey AS c, count(l_quantity) AS n, coalesce(sum(l_quantity), 0) AS s FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_totalprice > 0 GROUP BY 1",
+    {"c": "c", "n": "CAST(size(filter(q, x -> x IS NOT NULL)) AS BIGINT)", "q": "array_join(transform(q, x -> CAST(CAST(x AS BIGINT) AS STRING)), ',')"},
+    f"SELECT o_custkey AS c, count(l_quantity) AS n, coalesce(string_agg(CAST(CAST(l_quantity AS BIGINT) AS VARCHAR), ',' ORDER BY o_orderkey DESC, {_SORTED}), '') AS q FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_totalprice > 0 GROUP BY 1",
 )
 _add(
     "agg_bind",
-    order_docs,
+    _items("l_quantity"),
     "find {items: x::[{l_quantity: > 40}]} return {s: group(.o_orderstatus), q: sum(x.l_quantity), n: count()}",
     {"s": "s", "q": "round(q, 4)", "n": "n"},
     "SELECT o_orderstatus AS s, round(sum(l_quantity), 4) AS q, count(DISTINCT o_orderkey) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity > 40 GROUP BY 1",
 )
 _add("agg_default", mixed_docs, "find {n: >= 0} return {m: max(.w) default=120, s: sum(.w) default=2}", {"m": "to_json(m)", "s": "CAST(s AS DOUBLE)"}, "SELECT '120' AS m, CAST(2 * count(*) AS DOUBLE) AS s FROM events")
 _RANK = "event_id % 7, CASE WHEN event_id % 7 = 4 THEN event_id WHEN event_id % 7 = 6 THEN event_id END"
-_add(
-    "collation_order",
-    mixed_docs,
-    "find {n: >= 0} order .v desc return {id: .n} limit 500",
-    {"id": "CAST(id AS BIGINT)"},
-    "SELECT event_id AS id FROM events ORDER BY CASE WHEN event_id % 7 = 0 THEN 1 ELSE event_id % 7 END DESC, CASE WHEN event_id % 7 IN (4, 6) THEN event_id END DESC NULLS LAST, CASE WHEN event_id % 7 = 5 THEN 's' || event_id END DESC NULLS LAST, event_id DESC LIMIT 500",
-)
 _add_whole(
-    "collation_order_whole",
+    "collation_order",
     mixed_docs,
     "find {n: >= 0} order .v desc return {id: .n}",
     {"id": "CAST(id AS BIGINT)"},
@@ -330,9 +317,63 @@ _P = "SELECT p_partkey AS id FROM part WHERE "
 _add("fts_word", _PART, 'find {p_name: ~= "plates"}', _ID, _P + r"regexp_matches(p_name, '\bplates?\b')")
 _add("fts_not_word", _PART, 'find {p_size: > 0, p_name: !~= "red"}', _ID, _P + r"p_size > 0 AND NOT regexp_matches(p_name, '\bred\b')")
 _add("fts_phrase", _PART, 'find {p_name: ~= "red plate"}', _ID, _P + r"regexp_matches(p_name, '\bred plate\b')")
-_add("fts_proximity", _PART, 'find {p_name: ~1= "plate red"}', _ID, _P + r"regexp_matches(p_name, '\bred\b') AND regexp_matches(p_name, '\bplate\b')")
-_add("fts_documents", _plain("documents", "doc_id"), 'find {text: ~= "licensed"} return {id: .doc_id}', {"id": "id"}, r"SELECT doc_id AS id FROM documents WHERE regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])(licens(e|es|ed|ing))([^\p{L}\p{N}_]|$)')")
-_add("fts_conversations", _plain("conversations", "conv_id"), 'find {role: == "user", text: ~2= "the of"} return {id: .conv_id, t: .turn}', {"id": "id", "t": "t"}, None)
+_DOCUMENTS, _TALK = _plain("documents", "doc_id"), _plain("conversations", "conv_id")
+_add("fts_documents", _DOCUMENTS, 'find {text: ~= "licensed"} return {id: .doc_id}', {"id": "id"}, r"SELECT doc_id AS id FROM documents WHERE regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])(licens(e|es|ed|ing))([^\p{L}\p{N}_]|$)')")
+#: Words by the rules of segmentation, of which those that begin with a letter count.
+_WORDS = r"list_filter(regexp_extract_all(lower({0}), '[\p{{L}}\p{{M}}\p{{N}}_]*\p{{L}}(?:[''’.:]\p{{L}}(?:[\p{{L}}\p{{M}}\p{{N}}_]*\p{{L}})?)*[\p{{M}}\p{{N}}_]*|[\p{{M}}\p{{N}}_]+'), lambda x: regexp_matches(x, '^\p{{L}}'))"
+_AT = "list_filter(range(1, len(w) + 1), lambda i: w[i] = '{0}')"
+
+
+def _near(p: str, q: str, distance: int) -> str:
+    """Whether place q of an earlier word is near place p of a later one."""
+    return f"({q} - {p} BETWEEN {-distance - 1} AND {distance})"
+
+
+def _some(condition: str, name: str, places: str) -> str:
+    return f"len(list_filter({places}, lambda {name}: {condition})) > 0"
+
+
+def _placed(table: str, columns: str, text: str, *words: str, where: str = "true") -> str:
+    places = ", ".join(f"{_AT.format(word)} AS p{k}" for k, word in enumerate(words))
+    return f"WITH w AS (SELECT {columns}, {_WORDS.format(text)} AS w FROM {table} WHERE {where}), t AS (SELECT *, {places} FROM w)"
+
+
+_add("fts_phrase_documents", _DOCUMENTS, 'find {text: ~= "of the"} return {id: .doc_id}', {"id": "id"}, _placed("documents", "doc_id AS id", "text", "of", "the") + " SELECT id FROM t WHERE " + _some("list_contains(p1, q + 1)", "q", "p0"))
+_add("fts_proximity", _DOCUMENTS, 'find {text: ~3= "with from"} return {id: .doc_id}', {"id": "id"}, _placed("documents", "doc_id AS id", "text", "with", "from") + " SELECT id FROM t WHERE " + _some(_some(_near("p", "q", 3), "q", "p0"), "p", "p1"))
+_add(
+    "fts_proximity3",
+    _DOCUMENTS,
+    'find {text: ~2= "the of with"} return {id: .doc_id}',
+    {"id": "id"},
+    _placed("documents", "doc_id AS id", "text", "the", "of", "with")
+    + f", k AS (SELECT id, p2, list_filter(p0, lambda q: {_some(_near('p', 'q', 2), 'p', 'p1')}) AS k0, list_filter(p1, lambda p: {_some(_near('p', 'q', 2), 'q', 'p0')}) AS k1 FROM t) SELECT id FROM k WHERE "
+    + _some(_some(_near("p", "q", 2), "q", "k0") + " AND " + _some(_near("p", "q", 2), "q", "k1"), "p", "p2"),
+)
+_add(
+    "fts_conversations",
+    _TALK,
+    'find {role: == "user", text: ~2= "the of"} return {id: .conv_id, t: .turn}',
+    {"id": "id", "t": "t"},
+    _placed("conversations", "conv_id AS id, turn AS t", "text", "the", "of", where="role = 'user'") + " SELECT id, t FROM t WHERE " + _some(_some(_near("p", "q", 2), "q", "p0"), "p", "p1"),
+)
+
+
+def talk_docs(spark: SparkSession, sf_dir: str) -> Collection:
+    """Conversations as documents, with their turns as an array."""
+    turns = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    return Collection.typed(turns, "conv_id")
+
+
+_SAID = _placed("conversations", "conv_id AS id, role", "text", "for", "the")
+_add("fts_array", talk_docs, 'find {turns: [{role: == "user", text: ~= "for"}]}', _ID, _SAID + " SELECT DISTINCT id FROM t WHERE role = 'user' AND len(p0) > 0")
+_add("fts_array_proximity", talk_docs, 'find {turns: [{text: ~4= "for the"}], turns: [{role: == "system"}]}', _ID, _SAID + ", n AS (SELECT id FROM t WHERE " + _some(_some(_near("p", "q", 4), "q", "p0"), "p", "p1") + ") SELECT DISTINCT id FROM n WHERE id IN (SELECT id FROM t WHERE role = 'system')")
+_add(
+    "fts_array_bind",
+    talk_docs,
+    'find {turns: x::[{text: ~= "with"}]} return {id: .conv_id, n: x.turn}',
+    {"id": "id", "n": "array_join(n, ',')"},
+    _placed("conversations", "conv_id AS id, turn", "text", "with") + " SELECT id, string_agg(CAST(turn AS VARCHAR), ',' ORDER BY turn) AS n FROM t WHERE len(p0) > 0 GROUP BY 1",
+)
 
 # Scores
 _WEIGHTS = r"""WITH w AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part),
@@ -345,11 +386,8 @@ s AS (SELECT p_partkey AS id, CASE WHEN red > 0 THEN a * a * sqrt(red) / sqrt(n)
 _EITHER = 'find {p_name: ~="red" || p_name: ~="plate"} '
 _add("score_tfidf", _PART, _EITHER + "return {id: .p_partkey, s: score()}", {"id": "id", "s": "round(s, 4)"}, _WEIGHTS + "SELECT id, round(norm * (x + y) * m / 2, 4) AS s FROM s")
 _add("score_boost", _PART, 'find {p_name: ~="red"^2 || p_name: ~="plate"} return {id: .p_partkey, s: score()}', {"id": "id", "s": "round(s, 4)"}, _WEIGHTS + "SELECT id, round(norm * (2 * x + y) * m / 2, 4) AS s FROM s")
-_add(
-    "order_score", _PART, _EITHER + "order score() desc, .p_retailprice desc return {id: .p_partkey, s: score()} limit 40", {"id": "id", "s": "round(s, 4)"}, _WEIGHTS + "SELECT s.id, round(norm * (x + y) * m / 2, 4) AS s FROM s JOIN part ON p_partkey = s.id ORDER BY round(norm * (x + y) * m / 2, 4) DESC, p_retailprice DESC, s.id DESC LIMIT 40"
-)
 _add_whole(
-    "order_score_whole",
+    "order_score",
     _PART,
     _EITHER + "order score() desc, .p_retailprice desc return {id: .p_partkey, s: score()}",
     {"id": "id", "s": "round(s, 4)"},
