@@ -4,7 +4,7 @@ import pytest
 
 from veldra.queries import ORACLES, QUERIES
 
-NAMES = ["order_asc_whole", "order_desc_whole", "order_multi_whole", "order_default_whole", "order_score_whole", "collation_order_whole"]
+NAMES = ["order_asc", "order_desc", "order_multi", "order_default", "order_score", "collation_order"]
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +25,7 @@ def test_whole_order(spark, sf, sql, name):
 
 
 def test_every_type_is_ordered(spark, sf):
-    rank = {r.id: r.rank for r in QUERIES["collation_order_whole"](spark, sf).collect()}
+    rank = {r.id: r.rank for r in QUERIES["collation_order"](spark, sf).collect()}
     assert {k % 7 for k in rank} == set(range(7))
     kinds = [k % 7 or 1 for k in sorted(rank, key=rank.get)]
     assert kinds == sorted(kinds, reverse=True)

@@ -57,6 +57,22 @@ def word_leaves(node: Node, path: tuple[str, ...] = ()) -> list[tuple[tuple[str,
     return [(path, node if isinstance(node, Words) else None)]
 
 
+def all_words(node: Node, path: tuple[str, ...] = ()) -> dict[tuple[str, ...], list[str]]:
+    """The stems looked for anywhere in the clause, by key path."""
+    if isinstance(node, (And, Or)):
+        out = all_words(node.left, path)
+        for p, found in all_words(node.right, path).items():
+            out[p] = out.get(p, []) + [s for s in found if s not in out.get(p, [])]
+        return out
+    if isinstance(node, (Field, Array)):
+        return all_words(node.body, (*path, "." + node.key if isinstance(node, Field) else "$"))
+    if isinstance(node, (Not, Boost)):
+        return all_words(node.body, path)
+    if isinstance(node, Bind):
+        return all_words(node.array, path)
+    return {path: list(dict.fromkeys(node.stems))} if isinstance(node, Words) else {}
+
+
 def _number(value: Any) -> bool:
     return isinstance(value, (int, float)) and not isinstance(value, bool)
 

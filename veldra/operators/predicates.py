@@ -17,7 +17,7 @@ from ..functions.text import element_stems_udf, may_have, stems_udf
 from ..plans.nodes import All, And, Array, Bind, Boost, Box, Equal, Field, Node, Not, Or, Range, Words
 from ..sources.values import Missing, Value, true
 from .evaluate import scored_idf
-from .proximity import near_column, phrase_column
+from .proximity import near_column, phrase_column, placed_near, placed_phrase
 
 
 class NeedsPython(Exception):
@@ -38,6 +38,8 @@ class Compiler:
     #: Token columns to be added to the table before the filter, by name.
     tokens: dict[str, Column] = field(default_factory=dict)
     _names: dict[tuple[str, ...], str] = field(default_factory=dict)
+    #: From a text index: for a key path the columns of a map of stem to places and of the number of words.
+    placed: dict[tuple[str, ...], tuple[str, str]] = field(default_factory=dict)
     #: Inside an array clause: the array, how an element is read, its path, and the element's number.
     _element: tuple[Column, Callable[[Column], Value], tuple[str, ...], Column] | None = None
 
@@ -145,6 +147,11 @@ class Compiler:
         nothing = [F.lit(None).cast("float")] * len(node.stems) if self.idf is not None else []
         if text is None:
             return Compiled(F.lit(False), nothing)
+        if path in self.placed:
+            found, size = (F.col(c) for c in self.placed[path])
+            places = [F.coalesce(F.try_element_at(found, F.lit(w)), F.array().cast("array<int>")) for w in node.stems]
+            pred = true(placed_phrase(places) if node.distance is None else placed_near(places, node.distance))
+            return self._scored(node, path, boost, pred, F.size(places[0]) if len(node.stems) == 1 else F.lit(1), size, nothing)
         if depth:
             if self._element is None or "$" in path[len(self._element[2]) :] or node.distance is not None and len(node.stems) > 2:
                 raise NeedsPython
@@ -155,15 +162,17 @@ class Compiler:
                 self.tokens[self._names[path]] = stems_udf(text)
             tokens = F.col(self._names[path])
         pred = true(phrase_column(tokens, node.stems) if node.distance is None else near_column(tokens, node.stems, node.distance))
+        return self._scored(node, path, boost, pred, F.size(F.filter(tokens, lambda t: t == node.stems[0])) if len(node.stems) == 1 else F.lit(1), F.size(tokens), nothing)
+
+    def _scored(self, node: Words, path: tuple[str, ...], boost: float, pred: Column, count: Column, size: Column, nothing: list[Column]) -> Compiled:
         if self.idf is None:
             return Compiled(pred)
-        count = F.size(F.filter(tokens, lambda t: t == node.stems[0])) if len(node.stems) == 1 else F.lit(1)
         f = lambda c: c.cast("float")
         idf = scored_idf(node, path, self.idf)
         # 32-bit after every step, as the evaluator counts.
         weight = F.lit(float(np.float32(idf * idf))).cast("float")
         factor = F.lit(float(np.float32(boost) * np.float32(node.boost))).cast("float")
-        norm = f(F.lit(1.0) / f(F.sqrt(f(F.size(tokens)))))
+        norm = f(F.lit(1.0) / f(F.sqrt(f(size))))
         score = f(f(f(weight * f(F.sqrt(f(count)))) * norm) * factor)
         return Compiled(pred, [F.when(pred, score), *nothing[1:]])
 

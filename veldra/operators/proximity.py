@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
@@ -19,11 +21,15 @@ def near(found: list[str], words: tuple[str, ...], distance: int) -> bool:
     The words are visited in query order, starting with the first. A place of the next word is kept if every word
     visited so far has a place among the kept ones at most distance + 1 before it or at most ``distance`` after it.
     """
-    places = [[i for i, s in enumerate(found) if s == w] for w in words]
+    return near_places([[i for i, s in enumerate(found) if s == w] for w in words], distance)
+
+
+def near_places(places: list[list[int]], distance: int) -> bool:
+    """``near``, given each word's places in order."""
     if not all(places):
         return False
     kept = {p: 0 for p in places[0]}
-    for k in range(1, len(words)):
+    for k in range(1, len(places)):
         order, merged = sorted(kept), {}
         for p in places[k]:
             close = order[bisect_left(order, p - distance - 1) : bisect_left(order, p + distance + 1)]
@@ -56,3 +62,22 @@ def near_column(tokens: Column, words: tuple[str, ...], distance: int) -> Column
         return F.filter(F.transform(tokens, lambda t, i: F.when(t == word, i)), lambda i: i.isNotNull())
 
     return F.exists(places(second), lambda p: F.exists(places(first), lambda q: (q >= p - F.lit(distance + 1)) & (q < p + F.lit(distance + 1))))
+
+
+def placed_phrase(places: list[Column]) -> Column:
+    """Whether words stand one after the other, given the places of each."""
+    first, *rest = places
+    found = F.size(first) > 0
+    return found if not rest else F.exists(first, lambda p: _all(F.array_contains(c, p + k) for k, c in enumerate(rest, 1)))
+
+
+def _all(tests: Iterable[Column]) -> Column:
+    return reduce(lambda a, b: a & b, tests)
+
+
+def placed_near(places: list[Column], distance: int) -> Column:
+    """``near_places`` as an expression for two words; for more as one Arrow pass."""
+    if len(places) > 2:
+        return F.pandas_udf(lambda *lists: pd.Series([near_places([list(x) for x in row], distance) for row in zip(*lists)], dtype=bool), T.BooleanType())(*places)
+    first, second = places
+    return F.exists(second, lambda p: F.exists(first, lambda q: (q >= p - F.lit(distance + 1)) & (q < p + F.lit(distance + 1))))

@@ -13,10 +13,11 @@ from ..deploy import ship
 from ..functions.collation import collation_key
 from ..functions.text import stems_udf
 from ..operators.aggregates import bound_value, build
-from ..operators.evaluate import Evaluator, bound, field_instances, final_score, inverse_frequency, word_leaves
+from ..operators.evaluate import Evaluator, all_words, bound, field_instances, final_score, inverse_frequency, word_leaves
 from ..operators.predicates import Compiler, NeedsPython, prefilters, split
 from ..operators.returning import as_json, literal, or_default, walk
 from ..sources.collection import Collection
+from ..sources.text_index import path_name
 from ..sources.values import Dynamic, Typed, Value
 from .nodes import All, And, Equal, Field, Literal, Node, Not, Or, Path, Query, Range, Record, Score, Sequence, Template, leaves
 from .parser import binds as bind_names
@@ -77,12 +78,15 @@ class _Run:
             idf, norm = self._weights()
         df = df.withColumn("__seq", self.source.seq)
         compiler = Compiler(idf)
+        if self.source.index is not None:
+            df = self._placed(df, compiler)
         try:
             whole = compiler.run(find, self.root)
         except NeedsPython:
             return self._in_python(df, idf, norm)
-        for test in prefilters(find, self.root):
-            df = df.where(test)
+        if not compiler.placed:
+            for test in prefilters(find, self.root):
+                df = df.where(test)
         rest = []
         for part in split(find):
             plain = _bare(part, self.root)
@@ -93,7 +97,7 @@ class _Run:
         for name, text in compiler.tokens.items():
             df = df.withColumn(name, text)
         for part in rest:
-            again = Compiler(None, compiler.tokens, compiler._names)
+            again = Compiler(None, compiler.tokens, compiler._names, compiler.placed)
             df = df.where(again.run(part, self.root).pred)
         self.binds = whole.binds
         if norm is not None:
@@ -104,6 +108,22 @@ class _Run:
             self.score = f(f(f(F.lit(float(norm)).cast("float") * total) * f(on)) / F.lit(float(max(1, len(whole.terms)))).cast("float"))
         return df
 
+    def _placed(self, df: DataFrame, compiler: Compiler) -> DataFrame:
+        """Adds the places of the query's words from the text index; paths through arrays are left to the tokeniser."""
+        wanted = {path: stems for path, stems in all_words(self.query.find).items() if "$" not in path}
+        if not wanted:
+            return df
+        names = {path_name(path): path for path in wanted}
+        columns = []
+        for k, (name, path) in enumerate(names.items()):
+            own = F.col("path") == name
+            columns += [F.map_from_entries(F.collect_list(F.when(own, F.struct("stem", "places")))).alias(f"__places{k}"), F.max(F.when(own, F.col("n"))).alias(f"__words{k}")]
+            compiler.placed[path] = f"__places{k}", f"__words{k}"
+        found = self.source.index.find(wanted).groupBy(F.col("seq").alias("__placed")).agg(*columns)
+        # Where some word must be there, only documents that have one of the words are read on.
+        needed = bool(prefilters(self.query.find, self.root))
+        return df.join(found, F.col("__seq") == F.col("__placed"), "inner" if needed else "left")
+
     def _weights(self) -> tuple[dict[tuple[tuple[str, ...], str], np.float32], np.float32]:
         """Term weights from counts over the whole collection, only for the paths and stems of the query."""
         found = word_leaves(self.query.find)
@@ -114,6 +134,10 @@ class _Run:
                 own += [s for s in words.stems if s not in own]
         idf: dict[tuple[tuple[str, ...], str], np.float32] = {}
         for path, stems in wanted.items():
+            if self.source.index is not None:
+                fields, hits = self.source.index.counts(path, stems)
+                idf |= {(path, s): inverse_frequency(fields, n) for s, n in zip(stems, hits)}
+                continue
             if "$" in path:
                 instances = F.pandas_udf(lambda docs, p=path: pd.Series([field_instances(json.loads(d), p) for d in docs], dtype=object), T.ArrayType(T.StringType()))
                 rows = self.source.df.select(F.explode(instances(self.source.json_text())).alias("text"))

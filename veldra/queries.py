@@ -192,6 +192,7 @@ _add(
 
 # Return
 _add("ret_doc", _NATION, "find {n_regionkey: == 1} return .", {"id": "CAST(doc.n_nationkey AS BIGINT)", "name": "doc.n_name"}, "SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name FROM nation WHERE n_regionkey = 1")
+_add("ret_quoted", _CUSTOMER, 'find {c_acctbal: > 0} return {id: .c_custkey, name: .["c_name"]}', {"id": "id", "name": "name"}, "SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_acctbal > 0")
 _add("ret_path", _CUSTOMER, "find {c_acctbal: > 0} return .c_name", {"name": "c_name"}, "SELECT c_name AS name FROM customer WHERE c_acctbal > 0")
 _add(
     "ret_index",
@@ -405,6 +406,32 @@ _add(
 )
 
 
+def _edges(w: str, s: str, e: str, n: str) -> str:
+    """Whether the box of a shape, given its least and largest coordinates, meets the box of the query."""
+    return f"{w} <= 0.1 AND {e} >= -0.05 AND {s} <= 0.1 AND {n} >= -0.05"
+
+
+_X, _Y = [f"embedding[{k}]::DOUBLE" for k in (1, 3, 5)], [f"embedding[{k}]::DOUBLE" for k in (2, 4, 6)]
+_SHAPE = _edges(f"least({', '.join(_X)})", f"least({', '.join(_Y)})", f"greatest({', '.join(_X)})", f"greatest({', '.join(_Y)})")
+
+
+def shape_docs(kind: str) -> Callable[[SparkSession, str], Collection]:
+    """Vectors as lines or triangles of their first three points."""
+
+    def build(spark: SparkSession, sf_dir: str) -> Collection:
+        points = [F.array(*(F.col("embedding")[k + i].cast("double") for i in range(2))) for k in (0, 2, 4)]
+        coordinates = F.array(*points) if kind == "LineString" else F.array(F.array(*points, points[0]))
+        shape = F.struct(F.lit(kind).alias("type"), coordinates.alias("coordinates"))
+        return Collection.typed(_table(spark, sf_dir, "embeddings").select("vec_id", "label", shape.alias("shape"), F.array(shape).alias("shapes")), "vec_id")
+
+    return build
+
+
+_add("geo_lines", shape_docs("LineString"), "find {shape: && [-0.05, -0.05, 0.1, 0.1]}", _ID, f"SELECT vec_id AS id FROM embeddings WHERE {_SHAPE}")
+_add("geo_polygons", shape_docs("Polygon"), "find {shape: && [-0.05, -0.05, 0.1, 0.1]}", _ID, f"SELECT vec_id AS id FROM embeddings WHERE {_SHAPE}")
+_add("geo_bind", shape_docs("Polygon"), "find {shapes: x::[&& [-0.05, -0.05, 0.1, 0.1]]} return {id: .vec_id, kind: x.type}", {"id": "id", "kind": "to_json(kind)"}, f"SELECT vec_id AS id, '[\"Polygon\"]' AS kind FROM embeddings WHERE {_SHAPE}")
+
+
 # Store
 def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations with region 1 put in again under a new name, those with region 2 taken out, and a new one added."""

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .text_index import TextIndex
 from .values import Dynamic, Missing, Typed, Value
 
 
@@ -51,6 +53,8 @@ class Collection:
     id: Column
     seq: Column
     variant: bool
+    #: Where the words of the texts stand, if that is kept.
+    index: TextIndex | None = None
 
     @staticmethod
     def typed(df: DataFrame, id_column: str, seq_column: str | None = None) -> Collection:
@@ -71,10 +75,14 @@ class Collection:
 
     @staticmethod
     def read_json_lines(spark: SparkSession, path: str) -> Collection:
-        """A file or folder of JSON lines, numbered by file and place."""
-        lines = spark.read.text(path).where("trim(value) != ''").withColumn("__file", F.input_file_name())
-        numbered = lines.select("value", F.monotonically_increasing_id().alias("__n"))
-        return Collection.from_json_text(numbered, "value", "__n")
+        """A file or folder of JSON lines, numbered by file name and line, however the files are split."""
+        lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"))
+        # A row for each stretch of a file that is read at once: the number of its first row here, and of its first line in all.
+        blocks = sorted(lines.groupBy("file", "start").agg(F.min("n").alias("first"), F.count("*").alias("lines")).collect(), key=lambda r: (r.file, r.start))
+        begins = accumulate((r.lines for r in blocks), initial=0)
+        shifts = spark.createDataFrame([(r.file, r.start, begin - r.first) for r, begin in zip(blocks, begins)], "of string, from bigint, shift bigint")
+        numbered = lines.join(F.broadcast(shifts), (F.col("file") == F.col("of")) & (F.col("start") == F.col("from"))).where("trim(value) != ''")
+        return Collection.from_json_text(numbered.select("value", (F.col("n") + F.col("shift")).alias("line")), "value", "line")
 
     def root(self) -> Value:
         return Dynamic(F.col("doc")) if self.variant else Row(self.df, self.id)

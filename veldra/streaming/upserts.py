@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.window import Window
 
 from ..sources.store import DocStore
 
@@ -14,8 +13,8 @@ def apply_changes(store: DocStore, changes: DataFrame) -> None:
 
     ``text`` is the whole new document as JSON; NULL takes the document out.
     """
-    latest = changes.withColumn("__k", F.row_number().over(Window.partitionBy("_id").orderBy(F.col("at").desc()))).where("__k = 1")
-    store.apply(latest.where("text is not null").select("_id", "text"), latest.where("text is null").select("_id"))
+    latest = changes.groupBy("_id").agg(F.max_by(F.struct("text"), "at").alias("last")).select("_id", "last.text")
+    store.apply(latest.where("text is not null"), latest.where("text is null").select("_id"))
 
 
 def follow(spark: SparkSession, stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
