@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from veldra.errors import ParseError
-from veldra.functions.collation import flatten, key, render
+from veldra.functions.collation import collation_key, flatten, key, render
 from veldra.functions.text import may_have, stem, stems
 from veldra.operators.evaluate import Evaluator
 from veldra.plans.engine import run
@@ -152,6 +152,15 @@ def test_collation_key_sorts_as_values_do():
     assert render({"a": [1.0, 1.5, 1e21, -0.25], "b": 'q"\\', "c": {}}) == '{"a":[1,1.5,1000000000000000000000,-0.25],"b":"q\\"\\\\","c":{}}'
 
 
+def test_collation_key_in_spark_sorts_alike(spark):
+    rng = random.Random(9)
+    values = [None, False, True, -1e300, -1, -0.5, -0.0, 1e-9, 1, 2**60, 2**60 + 1, 10**25, "", "a", "a\x00b", "aa", 'q"uote', "back\\slash", "é", "\U0001f600", "\uffff", [], [None], [1, 1], ["b", {"a": 2}], {}, {"a": 1}, {"b": 0}]
+    values += [value(rng) for _ in range(100)]
+    rows = spark.createDataFrame([(k, json.dumps(v)) for k, v in enumerate(values)] + [(-1, None)], "k int, t string")
+    got = [r.k for r in rows.orderBy(collation_key(F.col("t")), "k").collect()]
+    assert got == sorted(range(-1, len(values)), key=lambda k: (key(values[k] if k >= 0 else None), k))
+
+
 def test_streamed_changes(spark, tmp_path):
     store = DocStore(spark, str(tmp_path / "s"), create=True)
     apply_changes(store, spark.createDataFrame([("a", '{"_id":"a","v":1}', 1), ("b", '{"_id":"b","v":2}', 1), ("a", '{"_id":"a","v":3}', 2)], "_id string, text string, at int"))

@@ -11,7 +11,7 @@ import struct
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import Column, functions as F, types as T
 
 
 def key(value: Any) -> bytes:
@@ -50,9 +50,20 @@ def _each(function, series: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.BinaryType())
-def collation_key(values: pd.Series) -> pd.Series:
-    """Sort key of JSON text; SQL NULL (missing) sorts as JSON null does."""
-    return pd.Series([b"\x01" if x is None else key(json.loads(x)) for x in values], dtype=object)
+def _nested_key(values: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None else key(json.loads(x)) for x in values], dtype=object)
+
+
+def collation_key(text: Column) -> Column:
+    """A struct that sorts JSON texts as ``key`` does; SQL NULL (missing) sorts as JSON null does.
+
+    Scalars are told apart and compared by Spark; Python sees arrays and objects only.
+    """
+    first = F.substring(text, 1, 1)
+    kind = F.when(text.isNull() | (first == "n"), 1).when(first == "f", 2).when(first == "t", 3).when(first == '"', 5).when(first == "[", 6).when(first == "{", 7).otherwise(4)
+    number = F.when(kind == 4, text.cast("double") + 0.0)
+    string = F.when(kind == 5, F.try_variant_get(F.parse_json(F.when(kind == 5, text)), "$", "string"))
+    return F.struct(kind.alias("kind"), number.alias("number"), string.alias("string"), _nested_key(F.when(kind >= 6, text)).alias("nested"))
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
