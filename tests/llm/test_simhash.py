@@ -113,6 +113,30 @@ def test_same_groups_whatever_the_sizes(spark, monkeypatch, name, value):
     assert len(want) > 20 and groups(simhash.near_duplicates(docs).collect()) == want
 
 
+def distant(rng):
+    """(texts, pairs that meet under two codewords of six segments, those that do so under three of seven)."""
+    base = [words(rng, 120) for _ in range(150)]
+    texts = [" ".join(t) for b in base for t in (b, edited(rng, b, 0.08))]
+    seg, pair, _, _ = simhash.fingerprints(pa.array(texts), 7)
+    codes = golay.keys(seg.ravel()).reshape(len(texts), 7, -1)
+    meets = []
+    for segments, agree in ((6, 2), (7, 3)):
+        sketch = np.concatenate((seg[:, :segments].astype(np.uint32), pair.view(np.uint32)), 1)
+        near = ~simhash._far(sketch[::2], sketch[1::2], segments, simhash.MAX_WORD, simhash.MAX_PAIR)
+        shared = ((codes[::2, :segments, :, None] == codes[1::2, :segments, None, :]) & (codes[::2, :segments, :, None] >= 0)).any((2, 3)).sum(1)
+        meets.append([[2 * k, 2 * k + 1] for k in np.flatnonzero(near & (shared >= agree)).tolist()])
+    return texts, *meets
+
+
+def test_same_groups_however_many_texts(spark, monkeypatch):
+    """Counts as of a table of 2^40 texts change nothing: pairs that only the short keys bring together are still found."""
+    texts, want, fewer = distant(random.Random(9))
+    assert any(pair not in fewer for pair in want)
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    monkeypatch.setattr(type(docs), "count", lambda self: 1 << 40)
+    assert groups(simhash.near_duplicates(docs).collect()) == want
+
+
 def test_edge_cases(spark):
     text = "the same words stand here in this very order more than once"
     long = " ".join(words(random.Random(6), 60_000))

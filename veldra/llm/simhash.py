@@ -31,8 +31,9 @@ from .classes import fold, grouped, least_ids, split
 from .lists import in_blocks, streamed
 from .scratch import Scratch, fresh, map_arrow, table
 
-#: (most texts, segments, agree): the more texts there are, the longer the keys, so that few strangers meet.
-SHAPES = ((1 << 30, 6, 2), (1 << 62, 7, 3))
+#: (most texts, segments, agree). There is one shape for all tables: longer keys would lose pairs that shorter ones find,
+#: so which documents are reported would depend on how many others there are.
+SHAPES = ((1 << 62, 6, 2),)
 SEGMENTS, AGREE = SHAPES[0][1:]
 #: Largest share of differing bits, of the word fingerprint and of the word-pair fingerprint.
 MAX_WORD = 0.20
@@ -223,8 +224,8 @@ def near_duplicates(docs: DataFrame, segments: int | None = None, agree: int | N
     """(doc_id, duplicate_of) for each document that has a near duplicate with a smaller doc_id in its group.
 
     ``duplicate_of`` is the least doc_id of the group. Words are runs of letters and digits in lower case,
-    so case, spacing and punctuation make no difference. Segments and agree come from the number of different texts
-    (SHAPES) where they aren't given.
+    so case, spacing and punctuation make no difference. Segments and agree are those of SHAPES where they aren't given,
+    for tables of any size.
 
     Defined results: rows whose doc_id is null, or whose text is null or has no word, are never reported.
     Rows that share a doc_id are one document (it may belong to several groups only if their texts differ;
@@ -235,17 +236,12 @@ def near_duplicates(docs: DataFrame, segments: int | None = None, agree: int | N
         raise ValueError("agree must lie between 1 and segments, and both be given or neither")
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null and text is not null")
-    # Fingerprints are made for the most segments that may be asked for; the first ones are used.
-    made = segments or SHAPES[-1][1]
-    sketches = scratch.save(map_arrow(rows, _sketch(made), "id bigint, h1 bigint, h2 bigint, sketch binary"), "sketches")
+    if segments is None:
+        segments, agree = SHAPES[0][1:]
+    sketches = scratch.save(map_arrow(rows, _sketch(segments), "id bigint, h1 bigint, h2 bigint, sketch binary"), "sketches")
     members, classes = fold(sketches, "sketch", scratch)
     classes = scratch.save(classes, "classes")
     scratch.drop("sketches")
-    if segments is None:
-        n = classes.count()
-        segments, agree = next((s, a) for most, s, a in SHAPES if n <= most)
-    if segments < made:
-        classes = classes.select("id", F.concat(F.substring("sketch", 1, 4 * segments), F.substring("sketch", 4 * made + 1, PAIR_BITS // 8)).alias("sketch"))
     # One partition sees each bucket whole; sorting spills, and the Python side streams bucket by bucket.
     spread = map_arrow(classes, _spread(segments, agree), "bucket int, id bigint, sketch binary")
     schema, options = "a bigint, b bigint, sketch binary", (segments, agree, max_word, max_pair)
