@@ -71,6 +71,33 @@ def test_prior_is_counted_over_all_documents(spark):
     assert np.isclose(quality._counted_prior(docs, trusted, model, held, fitted), want)
 
 
+def test_all_documents_take_part(spark, monkeypatch):
+    """The distributed training against the same in memory, on more rows than were once sampled."""
+    monkeypatch.setattr(quality, "STEPS", 12)
+    rng = np.random.default_rng(4)
+    n, step = 15000, 3
+    rows = [(k, ("good words, in a calm order. " if k % step == 0 or rng.random() < 0.5 else "BAD!! $$ ") * int(rng.integers(1, 6)) + str(k)) for k in range(n)]
+    docs = spark.createDataFrame([*rows, (None, "no id, but a text"), (n, None), (0, "a row of an id there is")], DOCS).repartition(5)
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(0, n, step)] + [(None, 1, 0), (n + 9, 1, 0), (1, 0, 0)], LABELS)
+    model = quality.train(docs, labels)
+    got = docs.where("text is not null").select("doc_id", "text", quality._fold().alias("fold")).toPandas()
+    x, fold = quality.features(pa.array(got.text)).astype(float), got.fold.to_numpy()
+    y = (got.doc_id % step == 0).to_numpy()
+    assert y.sum() > 4000 and (~y).sum() > 8000
+    hold, half = fold < 2, fold % 2 == 0
+    assert len(set(fold[y])) == len(set(fold[~y])) == quality.FOLDS
+    against = quality.fit(x[y & ~hold & half], x[~y & half], None)
+    held = np.sort(np.floor(against.score(x[y & ~hold & ~half]) / quality.LEVEL) * quality.LEVEL)
+    su = np.sort(against.score(x[~y & ~half]))
+    prior = quality.best_bin(held, len(su) - np.searchsorted(su, held), len(su))
+    assert np.isclose(model.prior, prior)
+    want = quality.fit(x[y & ~hold], x[~y], prior)
+    assert np.allclose(model.mean, x[~(y & hold)].mean(0)) and np.allclose(model.scale, want.scale)
+    assert np.allclose(model.score(x), want.score(x), atol=1e-6)
+    low = np.quantile(np.round(want.score(x[y & hold]), 6), quality.LOSS, method="lower")
+    assert np.isclose(model.threshold, min(0.0, low), atol=1e-5)
+
+
 def test_risk_and_prior_on_known_mixture():
     rng = np.random.default_rng(1)
     n = 3000
