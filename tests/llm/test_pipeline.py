@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 from veldra.llm import language, mixing, packing, quality, simhash
 
@@ -36,6 +38,18 @@ def test_stages_keep_the_columns_and_take_empty_tables(spark):
             assert out.columns == docs.columns
 
 
+def test_near_dedup_is_the_same_however_many_texts(spark, monkeypatch):
+    """Counts as of a table of 2^40 texts change nothing in what the stage keeps."""
+    from tests.llm.test_simhash import SCHEMA, distant
+
+    texts, want, fewer = distant(random.Random(9))
+    assert any(pair not in fewer for pair in want)
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    monkeypatch.setattr(type(docs), "count", lambda self: 1 << 40)
+    kept = {r.doc_id for r in corpus_pipeline.simhash_dedup(spark, docs, "").collect()}
+    assert kept == set(range(len(texts))) - {b for _, b in want}
+
+
 def test_clean_documents_stay(spark, sf):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
