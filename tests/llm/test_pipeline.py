@@ -1,7 +1,9 @@
 import random
 
+import pytest
+
 import corpus_pipeline
-from veldra.llm import language, mixing, packing, quality, simhash
+from veldra.llm import classes, language, mixing, packing, quality, simhash
 
 
 def test_stages_and_run(spark):
@@ -50,6 +52,21 @@ def test_near_dedup_is_the_same_however_many_texts(spark, monkeypatch):
     assert kept == set(range(len(texts))) - {b for _, b in want}
 
 
+@pytest.mark.parametrize("most", [classes.FILTER, 0])
+def test_near_dedup_is_the_same_with_and_without_a_filter(spark, monkeypatch, most):
+    """More documents to drop than the filter takes change nothing, whatever the ids look like."""
+    monkeypatch.setattr(classes, "FILTER", most)
+    text = "the same words stand here in this very order more than once"
+    rows = [(" 1", text), (" 2", text), ("+3", text), ("4", "another text of some other words"), (None, text)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    assert [r.doc_id for r in corpus_pipeline.simhash_dedup(spark, docs, "").orderBy("doc_id").collect()] == [None, " 1", "4"]
+    for kind in ("double", "decimal(12,2)"):
+        numbers = docs.withColumn("doc_id", docs.doc_id.cast(kind))
+        assert [r.doc_id for r in corpus_pipeline.simhash_dedup(spark, numbers, "").orderBy("doc_id").collect()] == [None, 1, 4]
+        with pytest.raises(Exception, match="doc_id must be a whole number"):
+            corpus_pipeline.simhash_dedup(spark, numbers.withColumn("doc_id", (numbers.doc_id + 0.5).cast(kind)), "").collect()
+
+
 def test_clean_documents_stay(spark, sf):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")

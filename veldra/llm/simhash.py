@@ -23,7 +23,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from . import golay
 from .arrays import U64, as_array, distinct, mix, slices, words
@@ -220,6 +220,14 @@ def _link(segments: int, agree: int, max_word: float, max_pair: float, limit: in
     return run
 
 
+def _id(docs: DataFrame) -> Column:
+    """doc_id as a bigint; a number with a fraction raises, as without it it would stand for another document."""
+    whole = F.col("doc_id").cast("bigint")
+    if isinstance(docs.select("doc_id").schema[0].dataType, T.FractionalType):
+        return F.when(whole != F.col("doc_id"), F.raise_error(F.lit("doc_id must be a whole number"))).otherwise(whole)
+    return whole
+
+
 def near_duplicates(docs: DataFrame, segments: int | None = None, agree: int | None = None, max_word: float = MAX_WORD, max_pair: float = MAX_PAIR) -> DataFrame:
     """(doc_id, duplicate_of) for each document that has a near duplicate with a smaller doc_id in its group.
 
@@ -230,12 +238,12 @@ def near_duplicates(docs: DataFrame, segments: int | None = None, agree: int | N
     Defined results: rows whose doc_id is null, or whose text is null or has no word, are never reported.
     Rows that share a doc_id are one document (it may belong to several groups only if their texts differ;
     the groups are then one). Equal texts are always grouped. Texts of any length are read whole. An empty
-    table gives no rows. Columns besides doc_id and text are ignored, whatever their names. doc_id must be a number.
+    table gives no rows. Columns besides doc_id and text are ignored, whatever their names. doc_id must be a whole number.
     """
     if (segments is None) != (agree is None) or segments is not None and not 1 <= agree <= segments:
         raise ValueError("agree must lie between 1 and segments, and both be given or neither")
     scratch = Scratch(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null and text is not null")
+    rows = docs.select(_id(docs).alias("id"), F.col("text").cast("string").alias("text")).where("id is not null and text is not null")
     if segments is None:
         segments, agree = SHAPES[0][1:]
     sketches = scratch.save(map_arrow(rows, _sketch(segments), "id bigint, h1 bigint, h2 bigint, sketch binary"), "sketches")
@@ -260,13 +268,13 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 
     All rows of a doc_id stay or go together; rows whose doc_id is null stay.
     """
-    (name,) = fresh(docs, "gone_")
+    name, key = fresh(docs, "gone_", "id_")
     scratch = Scratch(docs.sparkSession)
     gone = scratch.save(near_duplicates(docs, **options).select(F.col("doc_id").alias(name)), "gone")
-    # Most rows surely stay, and are neither joined nor shuffled.
-    sure, rest = split(docs, gone, "doc_id")
-    kept = rest.join(gone, F.col("doc_id") == F.col(name), "left_anti")
-    return kept if sure is None else sure.union(kept)
+    # Most rows surely stay, and are neither joined nor shuffled. Filter and join see the ids as near_duplicates does.
+    sure, rest = split(docs.select("*", _id(docs).alias(key)), gone, key)
+    kept = rest.join(gone, F.col(key) == F.col(name), "left_anti")
+    return (kept if sure is None else sure.union(kept)).drop(key)
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
