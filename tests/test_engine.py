@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from veldra.errors import ParseError
 from veldra.functions.collation import collation_key, flatten, key, render
-from veldra.functions.text import may_have, stem, stems
+from veldra.functions.text import element_places_udf, finder, heads, may_have, places_udf, stem, stems, words
 from veldra.operators.evaluate import Evaluator
 from veldra.plans.engine import run
 from veldra.plans.parser import parse
@@ -144,6 +144,38 @@ def test_prefilter_never_drops_a_match(spark):
         assert {x for x in words if s in stems(x)} <= hit
 
 
+def test_places_of_words_are_those_of_the_stems(spark):
+    rng = random.Random(3)
+    parts = ["the", "The", "of", "ſhip", "ships", "dying", "dies", "skies", "early", "o'clock", "O’Clock’s", "ﬁsh", "fishes", "12", "—", "naïve", "hoping", "x_y", "'tis", "İs", "!"]
+    texts = ["", "12 %", "...", *(" ".join(rng.choice(parts) for _ in range(rng.randrange(1, 12))) for _ in range(200))]
+    assert all(w.startswith(tuple(heads(stem(w)))) for t in [*texts, "gently only relational vietnamization sensibility yellow"] for w in words(t))
+    wanted = list(dict.fromkeys(["12 %", *(s for t in texts[3:20] for s in stems(t)), "absent"]))
+    want = [(len(found := stems(t)), *([i for i, s in enumerate(found) if s == w] for w in wanted)) for t in texts]
+    assert [(n, *own) for n, own in map(finder(wanted), texts)] == want
+    rows = spark.createDataFrame([(k, t, [t, None, t]) for k, t in enumerate(texts)] + [(-1, None, None), (-2, None, [])], "k int, t string, ts array<string>").coalesce(1)
+    got = rows.select("k", places_udf(wanted)("t").alias("one"), element_places_udf(wanted)("ts").alias("each")).collect()
+    for r in got:
+        row = want[r.k] if r.k >= 0 else None
+        assert (r.one and tuple(r.one)) == row
+        assert (r.each if r.each is None else [e and tuple(e) for e in r.each]) == ([row, None, row] if r.k >= 0 else None if r.k == -1 else [])
+
+
+def test_a_batch_of_texts_is_never_held_as_words():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from veldra.functions.text import _places
+
+    rng = random.Random(8)
+    texts = pa.array([" ".join(f"w{rng.randrange(5000)}" for _ in range(2000)) for _ in range(100)])
+    tracemalloc.start()
+    _places(texts, ("of", "the"))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < texts.nbytes / 4
+
+
 def test_collation_key_sorts_as_values_do():
     values = [None, False, True, -1e300, -1, -0.5, 0, 1e-9, 1, 2**60, "", "a", "a\x00", "a\x00b", "aa", "b", "é", [], [None], [1], [1, 1], [2], [[]], {}, {"a": 1}, {"a": 1, "b": 0}, {"a": 2}, {"b": 0}]
     assert sorted(values, key=key) == values

@@ -13,11 +13,11 @@ import numpy as np
 from pyspark.sql import Column, functions as F
 
 from ..functions.geo import overlaps
-from ..functions.text import element_stems_udf, may_have, stems_udf
+from ..functions.text import element_places_udf, may_have, places_udf
 from ..plans.nodes import All, And, Array, Bind, Boost, Box, Equal, Field, Node, Not, Or, Range, Words
 from ..sources.values import Missing, Value, true
 from .evaluate import scored_idf
-from .proximity import near_column, phrase_column, placed_near, placed_phrase
+from .proximity import placed_near, placed_phrase
 
 
 class NeedsPython(Exception):
@@ -35,8 +35,10 @@ class Compiled:
 class Compiler:
     #: Weights by (key path, stem); None where no score is asked for.
     idf: dict[tuple[tuple[str, ...], str], np.float32] | None = None
-    #: Token columns to be added to the table before the filter, by name.
-    tokens: dict[str, Column] = field(default_factory=dict)
+    #: The stems looked for, by key path.
+    wanted: dict[tuple[str, ...], list[str]] = field(default_factory=dict)
+    #: Columns of the words' places to be added to the table before the filter, by name.
+    places: dict[str, Column] = field(default_factory=dict)
     _names: dict[tuple[str, ...], str] = field(default_factory=dict)
     #: From a text index: for a key path the columns of a map of stem to places and of the number of words.
     placed: dict[tuple[str, ...], tuple[str, str]] = field(default_factory=dict)
@@ -122,13 +124,13 @@ class Compiler:
         return Compiled(found.pred, found.terms, {node.name: [(own, make)]})
 
     def _at(self, node: Array, array: Column, make: Callable[[Column], Value], path: tuple[str, ...], i: Column, boost: float) -> Column:
-        """The body of an array clause about element number ``i``; its words are looked up in token columns by that number."""
+        """The body of an array clause about element number ``i``; its words are looked up in columns of places by that number."""
         self._element = array, make, (*path, "$"), i
         found = self.run(node.body, make(F.get(array, i)), (*path, "$"), 1, boost).pred
         self._element = None
         return found
 
-    def _element_tokens(self, path: tuple[str, ...]) -> Column:
+    def _element_places(self, path: tuple[str, ...]) -> Column:
         array, make, base, i = self._element
         if path not in self._names:
 
@@ -138,8 +140,8 @@ class Compiler:
                     v = v.get(step[1:])
                 return v.string()
 
-            self._names[path] = f"__tokens{len(self._names)}"
-            self.tokens[self._names[path]] = element_stems_udf(F.transform(array, text))
+            self._names[path] = f"__places_{len(self._names)}"
+            self.places[self._names[path]] = element_places_udf(self.wanted[path])(F.transform(array, text))
         return F.get(F.col(self._names[path]), i)
 
     def _words(self, node: Words, v: Value, path: tuple[str, ...], depth: int, boost: float) -> Compiled:
@@ -147,22 +149,24 @@ class Compiler:
         nothing = [F.lit(None).cast("float")] * len(node.stems) if self.idf is not None else []
         if text is None:
             return Compiled(F.lit(False), nothing)
+        none = F.array().cast("array<int>")
         if path in self.placed:
             found, size = (F.col(c) for c in self.placed[path])
-            places = [F.coalesce(F.try_element_at(found, F.lit(w)), F.array().cast("array<int>")) for w in node.stems]
-            pred = true(placed_phrase(places) if node.distance is None else placed_near(places, node.distance))
-            return self._scored(node, path, boost, pred, F.size(places[0]) if len(node.stems) == 1 else F.lit(1), size, nothing)
-        if depth:
-            if self._element is None or "$" in path[len(self._element[2]) :] or node.distance is not None and len(node.stems) > 2:
-                raise NeedsPython
-            tokens = self._element_tokens(path)
+            places = [F.coalesce(F.try_element_at(found, F.lit(w)), none) for w in node.stems]
         else:
-            if path not in self._names:
-                self._names[path] = f"__tokens{len(self._names)}"
-                self.tokens[self._names[path]] = stems_udf(text)
-            tokens = F.col(self._names[path])
-        pred = true(phrase_column(tokens, node.stems) if node.distance is None else near_column(tokens, node.stems, node.distance))
-        return self._scored(node, path, boost, pred, F.size(F.filter(tokens, lambda t: t == node.stems[0])) if len(node.stems) == 1 else F.lit(1), F.size(tokens), nothing)
+            if depth:
+                if self._element is None or "$" in path[len(self._element[2]) :] or node.distance is not None and len(node.stems) > 2:
+                    raise NeedsPython
+                found = self._element_places(path)
+            else:
+                if path not in self._names:
+                    self._names[path] = f"__places_{len(self._names)}"
+                    self.places[self._names[path]] = places_udf(self.wanted[path])(text)
+                found = F.col(self._names[path])
+            size = found.getField("n")
+            places = [F.coalesce(found.getField(f"p{self.wanted[path].index(w)}"), none) for w in node.stems]
+        pred = true(placed_phrase(places) if node.distance is None else placed_near(places, node.distance))
+        return self._scored(node, path, boost, pred, F.size(places[0]) if len(node.stems) == 1 else F.lit(1), size, nothing)
 
     def _scored(self, node: Words, path: tuple[str, ...], boost: float, pred: Column, count: Column, size: Column, nothing: list[Column]) -> Compiled:
         if self.idf is None:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterable
 from functools import reduce
 
 import pandas as pd
@@ -42,37 +41,14 @@ def near_places(places: list[list[int]], distance: int) -> bool:
     return True
 
 
-def phrase_column(tokens: Column, words: tuple[str, ...]) -> Column:
-    k = len(words)
-    if k == 1:
-        return F.array_contains(tokens, words[0])
-    # Positions of the first word, then the words after each; no position beyond the end is looked at.
-    starts = F.sequence(F.lit(0), F.greatest(F.size(tokens) - k, F.lit(0)))
-    wanted = F.array(*(F.lit(w) for w in words))
-    return (F.size(tokens) >= k) & F.exists(starts, lambda i: F.slice(tokens, i + 1, F.lit(k)) == wanted)
-
-
-def near_column(tokens: Column, words: tuple[str, ...], distance: int) -> Column:
-    """``near`` as an expression for two words; for more as one Arrow pass over the tokens."""
-    if len(words) > 2:
-        return F.pandas_udf(lambda lists: pd.Series([x is not None and near(list(x), words, distance) for x in lists], dtype=bool), T.BooleanType())(tokens)
-    first, second = words
-
-    def places(word: str) -> Column:
-        return F.filter(F.transform(tokens, lambda t, i: F.when(t == word, i)), lambda i: i.isNotNull())
-
-    return F.exists(places(second), lambda p: F.exists(places(first), lambda q: (q >= p - F.lit(distance + 1)) & (q < p + F.lit(distance + 1))))
+def _back(places: Column, k: int) -> Column:
+    return F.transform(places, lambda p: p - F.lit(k)) if k else places
 
 
 def placed_phrase(places: list[Column]) -> Column:
-    """Whether words stand one after the other, given the places of each."""
-    first, *rest = places
-    found = F.size(first) > 0
-    return found if not rest else F.exists(first, lambda p: _all(F.array_contains(c, p + k) for k, c in enumerate(rest, 1)))
-
-
-def _all(tests: Iterable[Column]) -> Column:
-    return reduce(lambda a, b: a & b, tests)
+    """Whether words stand one after the other, given the places of each; linear in their number."""
+    *most, last = [_back(p, k) for k, p in enumerate(places)]
+    return F.arrays_overlap(reduce(F.array_intersect, most), last) if most else F.size(last) > 0
 
 
 def placed_near(places: list[Column], distance: int) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..deploy import ship
 from ..functions.collation import collation_key
-from ..functions.text import stems_udf
+from ..functions.text import counts_udf
 from ..operators.aggregates import bound_value, build
 from ..operators.evaluate import Evaluator, all_words, bound, field_instances, final_score, inverse_frequency, word_leaves
 from ..operators.predicates import Compiler, NeedsPython, prefilters, split
@@ -58,10 +58,6 @@ def _exact(value: Any, v: Typed) -> Column:
     return F.lit(value)
 
 
-def _is(word: str):
-    return lambda token: token == word
-
-
 class _Run:
     def __init__(self, collection: Collection, query: Query):
         self.source, self.query = collection, query
@@ -77,7 +73,7 @@ class _Run:
         if self.query.needs_score:
             idf, norm = self._weights()
         df = df.withColumn("__seq", self.source.seq)
-        compiler = Compiler(idf)
+        compiler = Compiler(idf, all_words(find))
         if self.source.index is not None:
             df = self._placed(df, compiler)
         try:
@@ -94,10 +90,10 @@ class _Run:
                 df = df.where(plain)
             elif not isinstance(part, All):
                 rest.append(part)
-        for name, text in compiler.tokens.items():
-            df = df.withColumn(name, text)
+        for name, places in compiler.places.items():
+            df = df.withColumn(name, places)
         for part in rest:
-            again = Compiler(None, compiler.tokens, compiler._names, compiler.placed)
+            again = Compiler(None, compiler.wanted, compiler.places, compiler._names, compiler.placed)
             df = df.where(again.run(part, self.root).pred)
         self.binds = whole.binds
         if norm is not None:
@@ -149,10 +145,8 @@ class _Run:
                 rows = None if text is None else self.source.df.select(text.alias("text")).where("text is not null")
             counts = None
             if rows is not None:
-                tokens = rows.select(stems_udf("text").alias("tokens"))
-                counts = tokens.agg(
-                    F.sum(F.size(F.array_distinct("tokens"))).alias("fields"), *(F.sum(F.size(F.filter("tokens", _is(s)))).alias(f"s{k}") for k, s in enumerate(stems))
-                ).first()
+                counted = rows.select(counts_udf(stems)("text").alias("found"))
+                counts = counted.agg(F.sum(F.col("found")[0]).alias("fields"), *(F.sum(F.col("found")[k + 1]).alias(f"s{k}") for k in range(len(stems)))).first()
             for k, s in enumerate(stems):
                 idf[path, s] = inverse_frequency(*((counts.fields or 0, counts[f"s{k}"] or 0) if counts else (0, 0)))
         total = np.float32(0)
