@@ -176,6 +176,13 @@ def test_a_batch_of_texts_is_never_held_as_words():
     assert peak < texts.nbytes / 4
 
 
+def test_texts_are_read_once(spark, sf):
+    from veldra.queries import QUERIES
+
+    for name in ("fts_phrase_documents", "fts_array_bind", "score_tfidf"):
+        assert QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1, name
+
+
 def test_collation_key_sorts_as_values_do():
     values = [None, False, True, -1e300, -1, -0.5, 0, 1e-9, 1, 2**60, "", "a", "a\x00", "a\x00b", "aa", "b", "é", [], [None], [1], [1, 1], [2], [[]], {}, {"a": 1}, {"a": 1, "b": 0}, {"a": 2}, {"b": 0}]
     assert sorted(values, key=key) == values

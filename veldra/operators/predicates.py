@@ -42,6 +42,8 @@ class Compiler:
     _names: dict[tuple[str, ...], str] = field(default_factory=dict)
     #: From a text index: for a key path the columns of a map of stem to places and of the number of words.
     placed: dict[tuple[str, ...], tuple[str, str]] = field(default_factory=dict)
+    #: Whether the places are read again after the filter, for bound elements or scores.
+    once: bool = False
     #: Inside an array clause: the array, how an element is read, its path, and the element's number.
     _element: tuple[Column, Callable[[Column], Value], tuple[str, ...], Column] | None = None
 
@@ -141,7 +143,7 @@ class Compiler:
                 return v.string()
 
             self._names[path] = f"__places_{len(self._names)}"
-            self.places[self._names[path]] = element_places_udf(self.wanted[path])(F.transform(array, text))
+            self.places[self._names[path]] = element_places_udf(self.wanted[path], self.once)(F.transform(array, text))
         return F.get(F.col(self._names[path]), i)
 
     def _words(self, node: Words, v: Value, path: tuple[str, ...], depth: int, boost: float) -> Compiled:
@@ -161,7 +163,7 @@ class Compiler:
             else:
                 if path not in self._names:
                     self._names[path] = f"__places_{len(self._names)}"
-                    self.places[self._names[path]] = places_udf(self.wanted[path])(text)
+                    self.places[self._names[path]] = places_udf(self.wanted[path], self.once)(text)
                 found = F.col(self._names[path])
             size = found.getField("n")
             places = [F.coalesce(found.getField(f"p{self.wanted[path].index(w)}"), none) for w in node.stems]

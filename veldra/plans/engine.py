@@ -73,7 +73,7 @@ class _Run:
         if self.query.needs_score:
             idf, norm = self._weights()
         df = df.withColumn("__seq", self.source.seq)
-        compiler = Compiler(idf, all_words(find))
+        compiler = Compiler(idf, all_words(find), once=bool(self.query.needs_score or bind_names(find)))
         if self.source.index is not None:
             df = self._placed(df, compiler)
         try:
