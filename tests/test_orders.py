@@ -33,3 +33,29 @@ def test_every_type_is_ordered(spark, sf):
 
 def test_limit_order(spark, sf, sql):
     assert [tuple(r) for r in QUERIES["limit_order"](spark, sf).collect()] == sql.execute(ORACLES["limit_order"]).fetchall()
+
+
+def test_places_over_partitions(spark):
+    from veldra.queries import _ranked
+
+    rows = spark.range(0, 1000, 1, 7).where("id % 3 = 0 AND (id < 200 OR id > 600)")  # some partitions are empty
+    want = [k for k in range(1000) if k % 3 == 0 and (k < 200 or k > 600)]
+    ranked = _ranked(rows)
+    assert [(r.id, r.rank) for r in ranked.collect()] == [(k, n) for n, k in enumerate(want, 1)]
+    assert dict(ranked.where("rank > 100").union(ranked.where("rank <= 100")).coalesce(2).collect()) == {k: n for n, k in enumerate(want, 1)}
+    assert _ranked(rows.where("id < 0")).collect() == []
+
+
+@pytest.mark.parametrize("name, order", [("mixed_docs", ".v desc"), ("_PART", "score() desc"), ("_ORDERS", ".o_totalprice default=1")])
+def test_keys_are_columns_before_the_sort(spark, sf, name, order):
+    """A sort evaluates an expression at every comparison."""
+    from veldra import queries
+    from veldra.plans.engine import run
+
+    find = {"mixed_docs": "{n: >= 0}", "_PART": '{p_name: ~= "red"}', "_ORDERS": "{o_totalprice: > 0}"}[name]
+    plan = run(getattr(queries, name)(spark, sf), f"find {find} order {order} return {{s: .x}}")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort [__key0#" in plan
+
+
+def test_ranks_are_made_without_python(spark, sf):
+    assert "monotonically_increasing_id" in QUERIES["order_asc"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()

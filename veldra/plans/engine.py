@@ -220,21 +220,27 @@ class _Run:
             return [(template.aggregate or next((s for s in reversed(template.steps) if isinstance(s, str)), template.bind or "doc"), template)]
         return [("score" if isinstance(template, Score) else "value", template)]
 
-    def sort_keys(self) -> list[Column]:
+    def sort_keys(self, df: DataFrame) -> tuple[DataFrame, list[Column]]:
+        """The keys, and the table with those as columns that aren't columns yet: a sort works out an expression at every comparison."""
         returned = {x.steps: x for x in leaves(self.query.template) if isinstance(x, Path) and x.bind is None}
         keys = []
-        for order in self.query.order:
+        for k, order in enumerate(self.query.order):
             if order.steps is None:
-                key = self.score
+                key, plain = self.score, False
             else:
                 default = returned[order.steps].default if order.steps in returned else order.default
                 v = walk(self.root, order.steps)
+                plain = default is None and isinstance(v, Typed) and len(order.steps) == 1
                 if self.source.variant or isinstance(v, Typed) and isinstance(v.type, T.VariantType):
-                    key = collation_key(as_json(v, default))
+                    df = df.withColumn(f"__text{k}", as_json(v, default))
+                    key, plain = collation_key(F.col(f"__text{k}")), False
                 else:
                     key = or_default(v, default, False)
+            if not plain:
+                df = df.withColumn(f"__key{k}", key)
+                key = F.col(f"__key{k}")
             keys.append(key.desc() if order.descending else key.asc())
-        return keys
+        return df, keys
 
     def dataframe(self, ordered: bool) -> DataFrame:
         df = self.filtered()
@@ -242,7 +248,7 @@ class _Run:
         if any(isinstance(x, Path) and x.aggregate for x in leaves(template)):
             return self._aggregated(df, ordered)
         if self.query.order:
-            keys = self.sort_keys()
+            df, keys = self.sort_keys(df)
             df = df.orderBy(*keys, F.col("__seq").desc())
         elif ordered or limit is not None:
             # The whole collection is listed by the text of seq, all else by seq.

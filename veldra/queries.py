@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import accumulate
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .plans.engine import run
 from .sources.collection import Collection
@@ -86,9 +88,18 @@ def _add(name: str, source: Callable[[SparkSession, str], Collection], query: st
 
 
 def _ranked(df: DataFrame) -> DataFrame:
-    """An ordered DataFrame with each row's place, from 1, as ``rank``; no partition sees another's rows."""
-    schema = T.StructType([*df.schema.fields, T.StructField("rank", T.LongType())])
-    return df.sparkSession.createDataFrame(df.rdd.zipWithIndex().map(lambda row: (*row[0], row[1] + 1)), schema)
+    """An ordered DataFrame with each row's place, from 1, as ``rank``; no partition sees another's rows, and Python none.
+
+    Counting and numbering read the partitions of one RDD, so its shuffle is made once and its bounds are the same for both.
+    """
+    spark = df.sparkSession
+    rows = DataFrame(spark._jsparkSession.createDataFrame(df._jdf.toDF().javaRDD(), df._jdf.schema()), spark)
+    counts = dict(rows.groupBy(F.spark_partition_id()).count().collect())
+    before = list(accumulate((counts.get(k, 0) for k in range(max(counts, default=0) + 1)), initial=1))
+    # The number of the partition, and below 33 bits that of the row in it.
+    rows = rows.withColumn("__at", F.monotonically_increasing_id())
+    first = F.get(F.lit(np.array(before, dtype="int64")), F.shiftright("__at", 33).cast("int"))
+    return rows.select(*df.columns, (first + F.col("__at").bitwiseAND((1 << 33) - 1)).alias("rank"))
 
 
 def _add_whole(name: str, source: Callable[[SparkSession, str], Collection], query: str, columns: dict[str, str], sql: str) -> None:
